@@ -121,7 +121,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     enough = partial.groupBy("node").agg(F.count_distinct("found").alias("n"))
     total = index.count()
     short = queries.join(enough, "node", "left").where(F.coalesce("n", F.lit(0)) < min(k + 1, total)).select("node", "v")
-    everything = index.select(F.lit(0).alias("bucket"), "node", "v")
+    everything = index.select(F.lit(0).alias("bucket"), F.col("node").alias("node"), F.col("v").alias("v"))
     one = everything.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     rest = scored(everything, short.select(F.lit(0).alias("bucket"), "node", "v"), one, dim, k)
     return merge(partial.unionByName(rest), asked, index, k, "double")

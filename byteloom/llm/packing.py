@@ -15,6 +15,9 @@ and text columns are read, so further columns may have any name.
 from __future__ import annotations
 
 import bisect
+import os
+import re
+import string
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -29,21 +32,30 @@ from byteloom.llm.common import checkpoint, salted_rank
 CAPACITY = 2048
 SEPARATOR = 0
 #: Words longer than this (in bytes) are encoded each time; the worker keeps at most so many others.
-WORD_BYTES, WORDS_KEPT = 64, 400_000
+WORD_BYTES, WORDS_KEPT = 64, 500_000
+MARKS = string.punctuation.encode()
+COMBINING = re.compile("[\u0300-\u036f]")
 #: Pieces of one length that one task numbers, about.
 RANK_ROWS = 500
 
 
+def _stem(word: bytes) -> bytes:
+    """The word without its closing marks, if a letter or digit stands before them."""
+    stem = word.rstrip(MARKS)
+    if stem and not stem[-1:].isalnum() and not stem[-4:].decode(errors="ignore").lower()[-1:].isalpha():
+        return word
+    return stem
+
+
 class WordEncoder:
-    """Token ids of whole texts, for a tokenizer that drops white space and never joins across it.
+    """Token ids of whole texts, for a tokenizer that lower-cases, drops white space and never joins across it.
 
-    A text is cut at ASCII white space, and each distinct word is encoded once per worker; the ids of a text are
-    those of its words in turn, as the tokenizer's own split removes white space and normalisation stays within words.
+    A text is cut at ASCII white space, and a word's ids are kept; those of a text are those of its words in turn, as
+    normalisation stays within words. A new word's closing ASCII marks are split off first: the tokenizer splits there
+    too. A-Z is lower-cased first unless the text holds combining marks, which may compose with one case alone.
     """
 
     def __init__(self, tokenizer_path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -55,24 +67,33 @@ class WordEncoder:
         out = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in out]
 
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of new words; they are kept while there is room, which the frequent ones, seen early, find."""
+        known = self.known
+        stems = {w: _stem(w) for w in words}
+        parts = {part for w, stem in stems.items() for part in (stem, w[len(stem) :]) if part}
+        new = [w for w in parts if w not in known]
+        ids = dict(zip(new, self._encode(new)))
+        ids[b""] = b""
+        for w, stem in stems.items():
+            if w not in ids:
+                tail = w[len(stem) :]
+                ids[w] = (known[stem] if stem in known else ids[stem]) + (known[tail] if tail in known else ids[tail])
+        if len(known) < WORDS_KEPT:
+            known.update((w, i) for w, i in ids.items() if len(w) <= WORD_BYTES)
+        return ids
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         known = self.known
         for text in texts:
-            words = text.encode().split() if text else []
-            new = set(words).difference(known)
-            if new:
-                if len(known) + len(new) > WORDS_KEPT:
-                    known.clear()
-                    new = set(words)
-                short = [w for w in new if len(w) <= WORD_BYTES][:WORDS_KEPT]
-                known.update(zip(short, self._encode(short)))
-                if len(short) < len(new):
-                    rest = sorted(new.difference(short))
-                    own = dict(zip(rest, self._encode(rest)))
-                    yield b"".join([known[w] if w in known else own[w] for w in words])
-                    continue
-            yield b"".join([known[w] for w in words])
+            data = (text or "").encode()
+            words = (data if COMBINING.search(text or "") else data.lower()).split()
+            try:
+                yield b"".join([known[w] for w in words])
+            except KeyError:
+                own = self._learn(set(words).difference(known))
+                yield b"".join([known[w] if w in known else own[w] for w in words])
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -115,11 +136,13 @@ class Step:
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
     """The combination of available lengths that fills ``room`` best; longer lengths are preferred among equals.
 
-    ``lengths`` ascends. Bit t of a state says that t tokens can be made up from the lengths so far.
+    ``lengths`` ascends. Bit t of a state says that t tokens can be made up from the lengths tried so far, which are the
+    longest ones; no more are tried once ``room`` is made up exactly.
     """
     reach, states = 1, []
     mask = (1 << (room + 1)) - 1
-    for length in lengths[: bisect.bisect_right(lengths, room)]:
+    for k in range(bisect.bisect_right(lengths, room) - 1, -1, -1):
+        length = lengths[k]
         most, take = min(counts[length], room // length), 1
         while most > 0:
             take = min(take, most)
@@ -127,12 +150,13 @@ def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int,
             reach |= (reach << (length * take)) & mask
             most -= take
             take *= 2
+        if reach >> room:
+            break
     total, chosen = reach.bit_length() - 1, {}
     for length, take, before in reversed(states):
-        rest = total - length * take
-        if rest >= 0 and before >> rest & 1:
+        if not before >> total & 1:
             chosen[length] = chosen.get(length, 0) + take
-            total = rest
+            total -= length * take
     return chosen
 
 
@@ -144,7 +168,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Step]:
     while lengths:
         seed = lengths[-1]
         counts[seed] -= 1
-        chosen = fullest([n for n in lengths if counts[n] > 0], counts, capacity - seed)
+        chosen = fullest(lengths, counts, capacity - seed)
         counts[seed] += 1
         chosen[seed] = chosen.get(seed, 0) + 1
         times = min(counts[n] // k for n, k in chosen.items())
