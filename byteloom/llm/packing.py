@@ -21,6 +21,7 @@ import string
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from byteloom.llm.common import checkpoint, salted_rank
 CAPACITY = 2048
 SEPARATOR = 0
 #: Words longer than this (in bytes) are encoded each time; the worker keeps at most so many others.
-WORD_BYTES, WORDS_KEPT = 64, 500_000
+WORD_BYTES, WORDS_KEPT = 64, 400_000
 MARKS = string.punctuation.encode()
 COMBINING = re.compile("[\u0300-\u036f]")
 #: Pieces of one length that one task numbers, about.
@@ -96,16 +97,22 @@ class WordEncoder:
                 yield b"".join([known[w] if w in known else own[w] for w in words])
 
 
+@lru_cache(2)
+def encoder(tokenizer_path: str) -> WordEncoder:
+    """One for each worker process, so that what one task has learned serves the next."""
+    return WordEncoder(tokenizer_path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """The token pieces of each document: id, piece, start, length, ids_crc32, and ids with ``keep_ids``."""
     limit = 4 * capacity
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        words = encoder(tokenizer_path)
         for batch in batches:
             rows: list[tuple] = []
             blobs: list[bytes] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
+            for doc, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist())):
                 ids += SEPARATOR.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(ids), limit)):
                     part = ids[at : at + limit]
