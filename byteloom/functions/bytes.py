@@ -21,6 +21,12 @@ def utf8(text: Column) -> Column:
     return F.encode(text, "UTF-8")
 
 
+def utf32(text: Column, little: bool = False) -> Column:
+    """UTF-32 without a mark."""
+    big = F.encode(text, "UTF-32")
+    return F.unhex(F.regexp_replace(F.hex(big), "(..)(..)(..)(..)", "$4$3$2$1")) if little else big
+
+
 def low_bytes(text: Column) -> Column:
     """One byte for each UTF-16 unit of a string: its low eight bits."""
     wide = F.encode(text, "UTF-16BE")
@@ -111,8 +117,9 @@ def utf8_bytes(data: Column) -> Column:
 
 def utf8_confidence(data: Column) -> Column:
     """0.80 to 0.99, by the share of bytes in multi-byte sequences; null if the data isn't UTF-8 with any."""
-    share = F.least(utf8_bytes(data) * 6 / F.octet_length(data), F.lit(1.0))
-    return F.least(F.lit(0.99), F.lit(0.80) + F.lit(0.19) * share)
+    within = utf8_bytes(data)
+    share = F.least(within * 6 / F.octet_length(data), F.lit(1.0))
+    return F.when(within.isNotNull(), F.least(F.lit(0.99), F.lit(0.80) + F.lit(0.19) * share))
 
 
 def ascii_confidence(data: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from byteloom.functions import bytes as B
@@ -163,23 +163,16 @@ WEB_SINGLE_BYTE = frozenset(
 DECODED = ("big5hkscs", "cp932", "cp949", "euc_jis_2004", "euc_kr", "gb18030", "iso2022_jp_2", "shift_jis_2004")
 
 
-def _declared(name: Column) -> Column:
-    """(encoding, undecided) of a declared name: null if it is unknown or its bytes don't decode."""
-    known = F.create_map(*[F.lit(x) for pair in registry.names().items() for x in pair])
-    return F.try_element_at(known, F.lower(F.trim(name)))
+def literal_map(table: dict[str, str]) -> Column:
+    """A map as one literal, which is folded once."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in table.items())), F.lit("\x02"), F.lit("\x01"))
 
 
-def _decodes(data: Column, encoding: Column) -> Column:
-    """Whether the first 4,096 bytes are valid in the declared encoding (for all but DECODED ones)."""
-    first = B.head(data, MARKUP_SCAN)
-    invalid = (encoding == "utf-8") & ~F.is_valid_utf8(first)
-    rejected: dict[frozenset[int], list[str]] = {}
-    for name in registry.REGISTRY:
-        if bad := _web_undefined(name):
-            rejected.setdefault(bad, []).append(name)
-    for bad, encodings in rejected.items():
-        invalid = invalid | (encoding.isin(encodings) & B.any_of(first, bad))
-    return ~invalid
+def _decodes(first: Column, encoding: Column) -> Column:
+    """Whether bytes are valid in the declared encoding (for all but DECODED ones)."""
+    bad = {name: B.byte_class(values) for name in registry.REGISTRY if (values := _web_undefined(name))}
+    rejected = F.try_element_at(literal_map(bad), encoding)
+    return F.when(encoding == "utf-8", F.is_valid_utf8(first)).otherwise(F.coalesce(~F.rlike(B.latin1(first), rejected), F.lit(True)))
 
 
 def declared_names(data: Column) -> list[tuple[Column, str]]:
@@ -191,40 +184,62 @@ def declared_names(data: Column) -> list[tuple[Column, str]]:
     return [*found, (comment, "text/x-python")]
 
 
-def markup(data: Column) -> Column:
-    """The declared encoding, if it is known and the bytes bear it out. ``confidence`` null: it takes a decoder to tell."""
+def markup(first: Column, declared: list[Column]) -> Column:
+    """The declared encoding, if it is known and the first bytes bear it out. ``confidence`` null: it takes a decoder to tell.
+
+    ``declared`` holds the names found, as ``declared_names`` orders them.
+    """
     found = none()
-    for name, mime in reversed(declared_names(data)):
+    kinds = [mime for _, mime in P.DECLARATIONS] + ["text/x-python"]
+    for name, mime in reversed(list(zip(declared, kinds))):
         plain = F.trim(name).rlike(r"\A[\x00-\x7F]+\z")
-        encoding = F.when(plain, _declared(name))
+        encoding = F.when(plain, F.try_element_at(literal_map(registry.names()), F.lower(F.trim(name))))
         # A name that is neither registered nor an alias may be one of Python's many spellings: left to the lookup there.
         unknown = plain & encoding.isNull()
-        take = F.when(unknown | encoding.isin(*DECODED), result(None, F.lit(None), None, mime)).when(encoding.isNotNull() & _decodes(data, encoding), result(encoding, CERTAIN, None, mime))
+        take = F.when(unknown | encoding.isin(*DECODED), result(None, F.lit(None), None, mime)).when(encoding.isNotNull() & _decodes(first, encoding), result(encoding, CERTAIN, None, mime))
         found = F.coalesce(take, found)
     return found
 
 
-def decided(data: Column, allowed: frozenset[str], empty: str) -> Column:
-    """What the native stages decide; null if a row may need more than they can do."""
-    may = lambda name: name.isNotNull() & name.isin(*allowed) if allowed else F.lit(False)
-    bom, esc, mime, declared = mark(data), escape(data), magic(data), markup(data)
-    as_ascii, as_utf8 = B.ascii_confidence(data), B.utf8_confidence(data)
+def decided(df: DataFrame, content: str, output: str, allowed: frozenset[str], empty: str, max_bytes: int) -> DataFrame:
+    """Adds what the native stages decide; null if a row may need more than they can do.
+
+    Stages become columns in a few steps: each is worked out once, and what Spark has to compile stays small.
+    """
+    data, first = F.col("__data"), F.col("__first")
+    may = lambda name: name.isin(*allowed) if allowed else F.lit(False)
+    df = df.withColumn("__data", B.head(F.col(content), max_bytes))
+    names = [f"__name{k}" for k in range(len(P.DECLARATIONS) + 1)]
+    facts = {
+        "__first": B.head(data, MARKUP_SCAN),
+        "__bom": mark(data),
+        "__escape": escape(data),
+        "__mime": magic(data),
+        "__ascii": B.ascii_confidence(data),
+        "__utf8": B.utf8_confidence(data),
+        "__binary": B.is_binary(data),
+        "__nulls": B.holds(B.head(data, 4096), b"\x00") & (F.octet_length(data) >= 10),
+        "__plus": B.holds(data, b"+") & ~B.latin1(data).rlike(P.HIGH),
+    }
+    df = df.select("*", *[c.alias(n) for n, c in facts.items()], *[c.alias(n) for n, (c, _) in zip(names, declared_names(data))])
+    df = df.withColumn("__declared", F.when(F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names]).isNotNull(), markup(first, [F.col(n) for n in names])))
+    bom, esc, mime, declared, as_ascii, as_utf8 = (F.col(f"__{n}") for n in ("bom", "escape", "mime", "declared", "ascii", "utf8"))
     more = F.lit(None).cast(RESULT)
-    nulls = B.holds(B.head(data, 4096), b"\x00") & (F.octet_length(data) >= 10)
-    utf7 = B.holds(data, b"+") & ~B.latin1(data).rlike(P.HIGH)
     start = result(empty, FALLBACK, None, PLAIN) if empty in allowed else result(None, 0.0, None, OCTETS)
-    return (
+    lingual = F.when(esc == "hz", "zh").when(esc == "iso2022_kr", "ko").otherwise("ja")
+    found = (
         F.when(F.octet_length(data) == 0, start)
         .when(may(bom), result(bom, 1.0, None, PLAIN))
-        .when(nulls, more)
-        .when(may(esc), result(esc, CERTAIN, None, PLAIN).withField("language", F.when(esc == "hz", "zh").when(esc == "iso2022_kr", "ko").otherwise("ja")))
-        .when(esc.isNull() & utf7, more)
+        .when(F.col("__nulls"), more)
+        .when(may(esc), result(esc, CERTAIN, None, PLAIN).withField("language", lingual))
+        .when(esc.isNull() & F.col("__plus"), more)
         .when(mime == "application/zip", more)
         .when(mime.isNotNull(), result(None, 1.0, None, mime))
-        .when(as_ascii.isNull() & as_utf8.isNull() & B.is_binary(data), result(None, CERTAIN, None, OCTETS))
+        .when(as_ascii.isNull() & as_utf8.isNull() & F.col("__binary"), result(None, CERTAIN, None, OCTETS))
         .when(declared.isNotNull() & declared["confidence"].isNull(), more)
         .when(may(declared["encoding"]), declared)
         .when(as_ascii.isNotNull() & F.lit("ascii" in allowed), result("ascii", as_ascii, None, PLAIN))
         .when(as_utf8.isNotNull() & F.lit("utf-8" in allowed), result("utf-8", as_utf8, None, PLAIN))
         .otherwise(more)
     )
+    return df.withColumn(output, found).drop("__data", "__declared", *facts, *names)

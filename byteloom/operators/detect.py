@@ -47,14 +47,13 @@ def display_name(encoding: Column, options: DetectOptions) -> Column:
     out = encoding
     for wanted, table in ((options.prefer_superset, names.PREFERRED_SUPERSET), (options.compat_names, names.COMPAT_NAMES)):
         if wanted:
-            pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-            out = F.coalesce(F.try_element_at(pairs, out), out)
+            out = F.coalesce(F.try_element_at(S.literal_map(table), out), out)
     return out
 
 
-def native(data: Column, options: DetectOptions) -> Column:
-    """The result where the native stages decide, with registered names and no language filled in; else null."""
-    return S.decided(B.head(data, options.max_bytes), options.allowed, options.empty_input_encoding)
+def native(df: DataFrame, content: str, output: str, options: DetectOptions) -> DataFrame:
+    """Adds the result where the native stages decide, with registered names and no language filled in; else null."""
+    return S.decided(df, content, output, options.allowed, options.empty_input_encoding, options.max_bytes)
 
 
 def _rest_udf(options: DetectOptions, shared):
@@ -80,22 +79,21 @@ def _rest_udf(options: DetectOptions, shared):
 def detect(df: DataFrame, content: str = "content", output: str = "detected", options: DetectOptions | None = None, models: Models | None = None) -> DataFrame:
     """Adds ``output``: struct(encoding, confidence, language, mime_type). Null content gives a null result."""
     options = options or DetectOptions()
-    found = df.withColumn(NATIVE, native(F.col(content), options))
+    found = native(df, content, NATIVE, options)
     # A mark, an escape or a declaration may have a language of its own already.
     lingual = F.col(f"{NATIVE}.encoding").isNotNull() & F.col(f"{NATIVE}.language").isNull() & F.lit(options.language)
     sent = F.when(F.col(NATIVE).isNull(), F.col(content)).when(lingual, B.head(F.col(content), residual.LANGUAGE_BYTES))
     rest = _rest_udf(options, share(df.sparkSession, models))
     found = found.withColumn(REST, rest(sent, F.col(f"{NATIVE}.encoding")))
-    joined = F.when(F.col(NATIVE).isNull(), F.col(REST)).otherwise(F.col(NATIVE).withField("language", F.coalesce(F.col(f"{NATIVE}.language"), F.when(lingual, F.col(f"{REST}.language")))))
-    named = joined.withField("encoding", display_name(joined["encoding"], options))
-    return found.withColumn(output, F.when(F.col(content).isNotNull(), named)).drop(NATIVE, REST)
+    filled = F.col(NATIVE).withField("language", F.coalesce(F.col(f"{NATIVE}.language"), F.when(lingual, F.col(f"{REST}.language"))))
+    found = found.withColumn(output, F.when(F.col(content).isNotNull(), F.when(F.col(NATIVE).isNull(), F.col(REST)).otherwise(filled))).drop(NATIVE, REST)
+    return found.withColumn(output, F.col(output).withField("encoding", display_name(F.col(f"{output}.encoding"), options)))
 
 
 def detect_native(df: DataFrame, content: str = "content", output: str = "detected", options: DetectOptions | None = None) -> DataFrame:
     """As ``detect``, by native stages alone: null where they can't decide, and no language but a given one."""
     options = options or DetectOptions()
-    found = native(F.col(content), options)
-    return df.withColumn(output, found).withColumn(output, F.col(output).withField("encoding", display_name(F.col(f"{output}.encoding"), options)))
+    return native(df, content, output, options).withColumn(output, F.col(output).withField("encoding", display_name(F.col(f"{output}.encoding"), options)))
 
 
 def column(content: Column, options: DetectOptions | None = None) -> Column:

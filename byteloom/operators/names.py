@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from byteloom.functions.stages import literal_map
 from byteloom.tables import names, registry
 
 
 def mapping(table: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    return F.try_element_at(literal_map(table), key)
 
 
 def lookup(name: Column) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from byteloom.operators.residual import to_utf8
 
 
-@F.pandas_udf("binary")
 def _transcoded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for data, encoding in batches:
         yield pd.Series([None if d is None or e is None else to_utf8(bytes(d), e) for d, e in zip(data, encoding)])
@@ -20,7 +19,7 @@ def _transcoded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
 
 def transcode(data: Column, encoding: Column) -> Column:
     """UTF-8 bytes of data in the registered encoding; what can't be decoded is passed over. Unknown encodings give null."""
-    return _transcoded(data, encoding)
+    return F.pandas_udf(_transcoded, "binary")(data, encoding)
 
 
 def _plain(text: str) -> list[str]:
@@ -37,11 +36,10 @@ def equivalent(data: bytes, a: str, b: str) -> bool:
     return left == right or len(left) == len(right) and _plain(left) == _plain(right)
 
 
-@F.pandas_udf("boolean")
 def _equivalent(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for data, a, b in batches:
         yield pd.Series([None if d is None or x is None or y is None else equivalent(bytes(d), x, y) for d, x, y in zip(data, a, b)])
 
 
 def reads_alike(data: Column, a: Column, b: Column) -> Column:
-    return _equivalent(data, a, b)
+    return F.pandas_udf(_equivalent, "boolean")(data, a, b)

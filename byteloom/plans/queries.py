@@ -137,7 +137,7 @@ def q_utf16_lanes(spark, sf_dir):
 @query
 def q_utf32_lanes(spark, sf_dir):
     """NULs in each lane of UTF-32."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.encode(F.substring("text", 1, 200), "UTF-32BE").alias("content"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", B.utf32(F.substring("text", 1, 200)).alias("content"))
     return docs.select("doc_id", *[_lane(C, 4, k).alias(f"lane{k}_nulls") for k in range(4)])
 
 
@@ -145,10 +145,10 @@ def q_utf32_lanes(spark, sf_dir):
 def q_wide_detect(spark, sf_dir):
     """G3, G4 and their text tests: documents in UTF-16 and UTF-32 without marks, as detected."""
     texts = F.substring("text", 1, 1500)
-    kinds = ["UTF-16LE", "UTF-16BE", "UTF-32LE", "UTF-32BE"]
-    content = F.encode(texts, kinds[-1])
+    kinds = [F.encode(texts, "UTF-16LE"), F.encode(texts, "UTF-16BE"), B.utf32(texts, little=True), B.utf32(texts)]
+    content = kinds[-1]
     for k, kind in enumerate(kinds[:-1]):
-        content = F.when(F.col("doc_id") % 4 == k, F.encode(texts, kind)).otherwise(content)
+        content = F.when(F.col("doc_id") % 4 == k, kind).otherwise(content)
     docs = read(spark, sf_dir, "documents").where(F.length("text") >= 8).select("doc_id", content.alias("content"))
     return detect(docs, options=DetectOptions(language=False)).select("doc_id", F.col("detected.encoding").alias("encoding"))
 
@@ -198,12 +198,18 @@ def q_zip_subtype(spark, sf_dir):
     return detect(docs).select("doc_id", F.col("detected.mime_type").alias("mime_type"))
 
 
+def _declarations(df: DataFrame) -> DataFrame:
+    """Adds the names declared (name0 to name3) and what the markup stage makes of them."""
+    names_ = [f"name{k}" for k in range(len(P.DECLARATIONS) + 1)]
+    df = df.select("*", *[c.alias(n) for n, (c, _) in zip(names_, S.declared_names(C))])
+    return df.withColumn("found", S.markup(B.head(C, S.MARKUP_SCAN), [F.col(n) for n in names_]))
+
+
 @query
 def q_markup_html(spark, sf_dir):
     """What pages declare."""
     pages = read(spark, sf_dir, "pages").select("page_id", B.utf8(F.col("html")).alias("content"))
-    found = S.markup(C)
-    return pages.select("page_id", S.declared_names(C)[1][0].alias("declared"), found["encoding"].alias("encoding"), found["mime_type"].alias("mime_type"))
+    return _declarations(pages).select("page_id", F.col("name1").alias("declared"), "found.encoding", "found.mime_type")
 
 
 @query
@@ -211,8 +217,7 @@ def q_markup_declared(spark, sf_dir):
     """XML and coding declarations before the texts."""
     heads = ['<?xml version="1.0" encoding="ISO-8859-2"?>', "#!/usr/bin/python\n# -*- coding: latin-1 -*-\n", '<meta http-equiv="Content-Type" content="text/html; charset=windows-1251">', '<?xml encoding="nothing"?>', "# coding: utf-8\n"]
     docs = read(spark, sf_dir, "documents").select("doc_id", B.utf8(F.concat(choose(heads, F.col("doc_id")), F.lit(" plain text"))).alias("content"))
-    found = S.markup(C)
-    return docs.select("doc_id", found["encoding"].alias("encoding"), found["mime_type"].alias("mime_type"))
+    return _declarations(docs).select("doc_id", "found.encoding", "found.mime_type")
 
 
 def _structure_query(encoding: str) -> Query:
@@ -464,7 +469,7 @@ def q_detect_native(spark, sf_dir):
 
 @query
 def q_era_filter(spark, sf_dir):
-    """Detection among DOS code pages and UTF-8 alone, which text of pure ASCII falls out of."""
+    """Detection with UTF-8 alone, where plain ASCII is left to statistics."""
     options = DetectOptions(include_encodings=("utf-8",), no_match_encoding="utf-8", language=False)
     found = detect(documents(spark, sf_dir), options=options)
-    return found.select("doc_id", F.col("detected.encoding").alias("encoding"), F.round("detected.confidence", 6).alias("confidence"))
+    return found.select("doc_id", F.col("detected.encoding").alias("encoding"), (F.col("detected.confidence") >= 0.8).alias("is_structural"))
