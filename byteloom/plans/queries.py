@@ -50,32 +50,34 @@ def choose(values: list, by: Column) -> Column:
     return out
 
 
-C = F.col("content")
+def data() -> Column:
+    """The bytes. A function, as columns can only be made once there is a session."""
+    return F.col("content")
 
 
 @query
 def q_byte_stats(spark, sf_dir):
     """Sizes and byte classes."""
-    return documents(spark, sf_dir).select("doc_id", F.octet_length(C).alias("n_bytes"), B.non_ascii(C).alias("n_high"), B.count(C, P.CONTROL).alias("n_control"), B.count(B.head(C, 1000), r"[\x20]").alias("n_spaces"))
+    return documents(spark, sf_dir).select("doc_id", F.octet_length(data()).alias("n_bytes"), B.non_ascii(data()).alias("n_high"), B.count(data(), P.CONTROL).alias("n_control"), B.count(B.head(data(), 1000), r"[\x20]").alias("n_spaces"))
 
 
 @query
 def q_find_bytes(spark, sf_dir):
     """Subsequences and prefixes."""
-    return documents(spark, sf_dir).select("doc_id", B.position(C, "the").alias("first_the"), B.starts(C, b"Th").alias("starts_th"), B.holds(C, b"\xc3\xa9").alias("holds_e_acute"))
+    return documents(spark, sf_dir).select("doc_id", B.position(data(), "the").alias("first_the"), B.starts(data(), b"Th").alias("starts_th"), B.holds(data(), b"\xc3\xa9").alias("holds_e_acute"))
 
 
 @query
 def q_read_numbers(spark, sf_dir):
     """P5: whole numbers at offsets."""
-    docs = documents(spark, sf_dir).where(F.octet_length(C) >= 8)
-    return docs.select("doc_id", B.number(C, 0, 4).alias("u32_be"), B.number(C, 0, 4, little=True).alias("u32_le"), B.number(C, 4, 2).alias("u16_be"), B.number(C, 4, 2, little=True).alias("u16_le"))
+    docs = documents(spark, sf_dir).where(F.octet_length(data()) >= 8)
+    return docs.select("doc_id", B.number(data(), 0, 4).alias("u32_be"), B.number(data(), 0, 4, little=True).alias("u32_le"), B.number(data(), 4, 2).alias("u16_be"), B.number(data(), 4, 2, little=True).alias("u16_le"))
 
 
 @query
 def q_byte_sets(spark, sf_dir):
     """Whether a byte of a set occurs."""
-    return latin(spark, sf_dir).select("doc_id", *[B.any_of(C, codepages.distinguishing()[e]).alias(f"has_{e.replace('-', '_')}") for e in ("cp1254", "iso8859-14")])
+    return latin(spark, sf_dir).select("doc_id", *[B.any_of(data(), codepages.distinguishing()[e]).alias(f"has_{e.replace('-', '_')}") for e in ("cp1254", "iso8859-14")])
 
 
 @query
@@ -90,14 +92,14 @@ def q_ascii(spark, sf_dir):
     """G11."""
     docs = documents(spark, sf_dir).select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "content")
     items = read(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("origin"), F.col("item_id").alias("id"), B.utf8(F.col("text")).alias("content"))
-    return docs.unionByName(items).select("origin", "id", B.ascii_confidence(C).alias("confidence"))
+    return docs.unionByName(items).select("origin", "id", B.ascii_confidence(data()).alias("confidence"))
 
 
 @query
 def q_ascii_nulls(spark, sf_dir):
     """Text with NULs between its words, up to 5 % of which pass."""
-    docs = documents(spark, sf_dir).select("doc_id", F.concat(C, F.expr("unhex(repeat('00', cast(doc_id % 40 as int)))")).alias("content"))
-    return docs.select("doc_id", B.ascii_confidence(C).alias("confidence"))
+    docs = documents(spark, sf_dir).select("doc_id", F.concat(data(), F.expr("unhex(repeat('00', cast(doc_id % 40 as int)))")).alias("content"))
+    return docs.select("doc_id", B.ascii_confidence(data()).alias("confidence"))
 
 
 @query
@@ -105,21 +107,21 @@ def q_utf8_confidence(spark, sf_dir):
     """G12."""
     docs = documents(spark, sf_dir).select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("sub"), "content")
     turns = read(spark, sf_dir, "conversations").select(F.lit("conversations").alias("origin"), F.col("conv_id").alias("id"), F.col("turn").cast("long").alias("sub"), B.utf8(F.col("text")).alias("content"))
-    return docs.unionByName(turns).select("origin", "id", "sub", F.coalesce(B.utf8_bytes(C), F.lit(0)).cast("long").alias("mb_bytes"), F.round(B.utf8_confidence(C), 6).alias("confidence"))
+    return docs.unionByName(turns).select("origin", "id", "sub", F.coalesce(B.utf8_bytes(data()), F.lit(0)).cast("long").alias("mb_bytes"), F.round(B.utf8_confidence(data()), 6).alias("confidence"))
 
 
 @query
 def q_binary_ratio(spark, sf_dir):
     """Texts behind a varying number of control bytes."""
-    docs = documents(spark, sf_dir).select("doc_id", F.concat(F.expr("unhex(repeat('01', cast(doc_id % 30 as int)))"), C).alias("content"))
-    return docs.select("doc_id", B.count(C, P.CONTROL).alias("n_control"), F.coalesce(B.is_binary(C), F.lit(False)).alias("is_binary"))
+    docs = documents(spark, sf_dir).select("doc_id", F.concat(F.expr("unhex(repeat('01', cast(doc_id % 30 as int)))"), data()).alias("content"))
+    return docs.select("doc_id", B.count(data(), P.CONTROL).alias("n_control"), F.coalesce(B.is_binary(data()), F.lit(False)).alias("is_binary"))
 
 
 @query
 def q_bom(spark, sf_dir):
     """Each kind of mark before the texts; UTF-32 marks need whole characters behind them."""
-    docs = documents(spark, sf_dir).withColumn("content", F.concat(choose([m for m, _ in S.MARKS] + [b""], F.col("doc_id")), C))
-    return docs.select("doc_id", S.mark(C).alias("encoding"))
+    docs = documents(spark, sf_dir).withColumn("content", F.concat(choose([m for m, _ in S.MARKS] + [b""], F.col("doc_id")), data()))
+    return docs.select("doc_id", S.mark(data()).alias("encoding"))
 
 
 def _lane(data: Column, width: int, lane: int) -> Column:
@@ -131,14 +133,14 @@ def _lane(data: Column, width: int, lane: int) -> Column:
 def q_utf16_lanes(spark, sf_dir):
     """NULs in each lane of UTF-16."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.encode(F.substring("text", 1, 200), "UTF-16BE").alias("content"))
-    return docs.select("doc_id", F.floor(F.octet_length(C) / 2).alias("n_units"), _lane(C, 2, 0).alias("high_nulls"), _lane(C, 2, 1).alias("low_nulls"))
+    return docs.select("doc_id", F.floor(F.octet_length(data()) / 2).alias("n_units"), _lane(data(), 2, 0).alias("high_nulls"), _lane(data(), 2, 1).alias("low_nulls"))
 
 
 @query
 def q_utf32_lanes(spark, sf_dir):
     """NULs in each lane of UTF-32."""
     docs = read(spark, sf_dir, "documents").select("doc_id", B.utf32(F.substring("text", 1, 200)).alias("content"))
-    return docs.select("doc_id", *[_lane(C, 4, k).alias(f"lane{k}_nulls") for k in range(4)])
+    return docs.select("doc_id", *[_lane(data(), 4, k).alias(f"lane{k}_nulls") for k in range(4)])
 
 
 @query
@@ -157,13 +159,13 @@ def q_wide_detect(spark, sf_dir):
 def q_escape_iso2022(spark, sf_dir):
     """An escape sequence of each kind after the texts."""
     marks = [*S.ESCAPES_2004, S.ESCAPE_EXT, *S.ESCAPES_JP, S.ESCAPES_JP[0] + b"\x0e\x0f", S.ESCAPE_KR, b"\x1b[0m"]
-    return documents(spark, sf_dir).select("doc_id", S.iso2022(F.concat(C, choose(marks, F.col("doc_id")))).alias("encoding"))
+    return documents(spark, sf_dir).select("doc_id", S.iso2022(F.concat(data(), choose(marks, F.col("doc_id")))).alias("encoding"))
 
 
 @query
 def q_hz(spark, sf_dir):
     """Shifted regions, good and bad, after the texts."""
-    return documents(spark, sf_dir).select("doc_id", S.is_hz(F.concat(C, choose([b"~{VPND~}", b"~{VPN~}", b"~{V D ~}~{!!~}", b"~{", b"~{~}"], F.col("doc_id")))).alias("is_hz"))
+    return documents(spark, sf_dir).select("doc_id", S.is_hz(F.concat(data(), choose([b"~{VPND~}", b"~{VPN~}", b"~{V D ~}~{!!~}", b"~{", b"~{~}"], F.col("doc_id")))).alias("is_hz"))
 
 
 @query
@@ -181,7 +183,7 @@ _SIGNATURES = [*(p for p, _ in S.MAGIC), b"\x00\x00\x00\x10ftypavif", b"\x00\x00
 @query
 def q_magic(spark, sf_dir):
     """File signatures before the texts."""
-    return documents(spark, sf_dir).select("doc_id", S.magic(F.concat(choose(_SIGNATURES, F.col("doc_id")), C)).alias("mime_type"))
+    return documents(spark, sf_dir).select("doc_id", S.magic(F.concat(choose(_SIGNATURES, F.col("doc_id")), data())).alias("mime_type"))
 
 
 def _member(name: bytes, content: bytes = b"") -> bytes:
@@ -201,8 +203,8 @@ def q_zip_subtype(spark, sf_dir):
 def _declarations(df: DataFrame) -> DataFrame:
     """Adds the names declared (name0 to name3) and what the markup stage makes of them."""
     names_ = [f"name{k}" for k in range(len(P.DECLARATIONS) + 1)]
-    df = df.select("*", *[c.alias(n) for n, (c, _) in zip(names_, S.declared_names(C))])
-    return df.withColumn("found", S.markup(B.head(C, S.MARKUP_SCAN), [F.col(n) for n in names_]))
+    df = df.select("*", *[c.alias(n) for n, (c, _) in zip(names_, S.declared_names(data()))])
+    return df.withColumn("found", S.markup(B.head(data(), S.MARKUP_SCAN), [F.col(n) for n in names_]))
 
 
 @query
@@ -223,7 +225,7 @@ def q_markup_declared(spark, sf_dir):
 def _structure_query(encoding: str) -> Query:
     def run(spark, sf_dir):
         s = F.col("s")
-        rows = documents(spark, sf_dir).select("doc_id", B.structure(C, encoding).alias("s"))
+        rows = documents(spark, sf_dir).select("doc_id", B.structure(data(), encoding).alias("s"))
         return rows.select("doc_id", s["leads"].alias("leads"), s["valid"].alias("valid"), s["mb_bytes"].alias("mb_bytes"), s["lead_diversity"].alias("lead_diversity"), F.round(B.pair_ratio(s), 6).alias("ratio"))
 
     run.__name__ = f"q_struct_{encoding}"
@@ -341,7 +343,7 @@ def q_confusion_votes(spark, sf_dir):
 def q_demote(spark, sf_dir):
     """Which niche encodings would give way for lack of a byte of their own."""
     own = codepages.distinguishing()
-    return latin(spark, sf_dir).select("doc_id", *[(~B.any_of(C, own[e])).alias(f"demote_{e.replace('-', '_')}") for e in own], B.any_of(C, codepages.tajik()).alias("promote_koi8_t"))
+    return latin(spark, sf_dir).select("doc_id", *[(~B.any_of(data(), own[e])).alias(f"demote_{e.replace('-', '_')}") for e in own], B.any_of(data(), codepages.tajik()).alias("promote_koi8_t"))
 
 
 @query
@@ -379,14 +381,14 @@ def q_lang_equiv(spark, sf_dir):
 def q_reads_alike(spark, sf_dir):
     """E5: whether two code pages read a document alike but for marks."""
     docs = latin(spark, sf_dir)
-    return docs.select("doc_id", transcode.reads_alike(C, F.lit("latin-1"), F.lit("cp1252")).alias("cp1252"), transcode.reads_alike(C, F.lit("latin-1"), F.lit("iso8859-15")).alias("latin9"))
+    return docs.select("doc_id", transcode.reads_alike(data(), F.lit("latin-1"), F.lit("cp1252")).alias("cp1252"), transcode.reads_alike(data(), F.lit("latin-1"), F.lit("iso8859-15")).alias("latin9"))
 
 
 @query
 def q_transcode(spark, sf_dir):
     """Latin-1 bytes back to UTF-8."""
     docs = latin(spark, sf_dir)
-    return docs.select("doc_id", F.md5(transcode.transcode(C, F.lit("iso8859-1"))).alias("text_md5"))
+    return docs.select("doc_id", F.md5(transcode.transcode(data(), F.lit("iso8859-1"))).alias("text_md5"))
 
 
 @query
@@ -428,7 +430,7 @@ def q_stream_chunks(spark, sf_dir):
     """Content cut into 64-byte chunks, put together again up to a limit."""
     chunks = split(documents(spark, sf_dir), 64, "doc_id")
     whole = assembled(chunks, "doc_id", max_bytes=1000)
-    return whole.select("doc_id", F.octet_length(C).alias("n_bytes"), F.md5(C).alias("content_md5"))
+    return whole.select("doc_id", F.octet_length(data()).alias("n_bytes"), F.md5(data()).alias("content_md5"))
 
 
 @query

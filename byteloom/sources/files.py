@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from byteloom.functions import bytes as B
 from byteloom.operators import names
@@ -38,17 +39,14 @@ def write_report(results: DataFrame, path: str, label: str = "path", result: str
 
 def accuracy(results: DataFrame, expected: str, detected: str) -> DataFrame:
     """(expected, n, n_correct) for each expected encoding, with a row of null and ``is_total`` for all."""
-    judged = results.withColumn("_ok", names.is_correct(F.col(expected), F.col(detected)).cast("long"))
-    rolled = judged.rollup(F.col(expected).alias("expected")).agg(F.grouping("expected").cast("int").alias("is_total"), F.count(F.lit(1)).alias("n"), F.sum("_ok").alias("n_correct"))
-    return rolled
+    judged = results.select(F.col(expected).alias("expected"), names.is_correct(F.col(expected), F.col(detected)).cast("long").alias("_ok"))
+    return judged.rollup("expected").agg(F.grouping("expected").cast("int").alias("is_total"), F.count(F.lit(1)).alias("n"), F.sum("_ok").alias("n_correct"))
 
 
 def nearest_percentiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
     """Percentiles as the sample at floor(share x n), without interpolation. One row."""
     ordered = df.where(F.col(column).isNotNull())
     n = ordered.agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window as W
-
     ranked = ordered.select(column).withColumn("_bucket", F.col(column)).groupBy("_bucket").agg(F.count(F.lit(1)).alias("c"))
     upto = ranked.withColumn("_upto", F.sum("c").over(W.orderBy("_bucket")))
     picks = [F.min(F.when(F.col("_upto") > F.least(F.floor(F.lit(s) * F.col("n")), F.col("n") - 1), F.col("_bucket"))).alias(f"p{round(s * 100)}") for s in shares]

@@ -6,6 +6,7 @@ language is registered with and for UTF-8; ``operators.scoring`` trains them fro
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -15,8 +16,6 @@ from byteloom.tables.registry import REGISTRY
 from byteloom.tables.samples import SAMPLES
 
 CELLS = 65_536
-#: Python's codec for a registered encoding, where its name differs.
-CODECS = {"utf-8-sig": "utf-8-sig", "tis-620": "tis-620"}
 
 
 def bigrams(data: bytes) -> np.ndarray:
@@ -103,7 +102,7 @@ def pack(models: Models) -> bytes:
     out = [MAGIC, len(models.keys).to_bytes(4, "big")]
     for (lang, encoding), norm in zip(models.keys, models.norms):
         name = f"{lang}/{encoding}".encode()
-        out += [len(name).to_bytes(4, "big"), name, np.float64(norm).astype(">f8").tobytes()]
+        out += [len(name).to_bytes(4, "big"), name, struct.pack(">d", norm)]
     return b"".join(out) + models.weights.tobytes()
 
 
