@@ -125,10 +125,10 @@ def spans_of(kind: str, text: Column) -> Column:
     return F.when(text.rlike(HINTS[kind]), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``spans``: all spans of a text as (start, kind, end, score), by start and then kind; ``kind`` indexes KINDS."""
-    by_kind = docs.select(*[c for c in docs.columns if c != "spans"], *[spans_of(k, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias(f"_{k}") for k in KINDS])
-    return by_kind.withColumn("spans", F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS]))).drop(*[f"_{k}" for k in KINDS])
+def detect(docs: DataFrame, text_col: str = "text", output: str = "spans") -> DataFrame:
+    """Adds ``output``: all spans of a text as (start, kind, end, score), by start and then kind; ``kind`` indexes KINDS."""
+    by_kind = docs.select(*[c for c in docs.columns if c != output], *[spans_of(k, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias(f"_{k}") for k in KINDS])
+    return by_kind.withColumn(output, F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS]))).drop(*[f"_{k}" for k in KINDS])
 
 
 def written(spans: Column) -> Column:
@@ -146,6 +146,6 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         plain = F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.get(labels, s["kind"]))
         return F.struct(F.when(s["start"] >= acc["at"], plain).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    text = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
-    found = detect(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col)
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, text).otherwise(F.col(text_col))).drop("spans").select(*docs.columns)
+    text = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
+    found = detect(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col, "__spans")
+    return found.withColumn(text_col, F.when(F.size("__spans") > 0, text).otherwise(F.col(text_col))).select(*docs.columns)
