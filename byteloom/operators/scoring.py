@@ -43,9 +43,9 @@ def bigram_counts(df: DataFrame, content: str = "content", keys: Iterable[str] =
 
 def idf_table(counts: DataFrame, models: list[str]) -> DataFrame:
     """(bigram, idf) of the models that ``counts`` holds: ln(1 + models / models that have it)."""
-    total = counts.select(*models).distinct().agg(F.count(F.lit(1)).alias("total"))
+    total = counts.select(*models).distinct().agg(F.count(F.lit(1))).scalar()
     having = counts.groupBy("bigram").agg(F.count(F.lit(1)).alias("having"))
-    return having.join(F.broadcast(total)).select("bigram", F.log1p(F.col("total") / F.col("having")).alias("idf"))
+    return having.select("bigram", F.log1p(total / F.col("having")).alias("idf"))
 
 
 def profiles(counts: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:

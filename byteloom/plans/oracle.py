@@ -206,6 +206,7 @@ r AS (SELECT origin, CASE WHEN {_SAYS} THEN 'utf-8' WHEN ({_ASCII}) IS NOT NULL
 ORACLE["q_detect_mix"] = f"WITH {_MIX} SELECT origin, encoding, mime_type, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM r GROUP BY ALL"
 ORACLE["q_detect_join_labels"] = f"WITH {DOCS}, r AS (SELECT doc_id, CASE WHEN ({_ASCII}) IS NOT NULL THEN 'ascii' ELSE 'utf-8' END AS encoding FROM d) SELECT encoding, quality, count(*) AS n, sum(toxic)::BIGINT AS n_toxic FROM r JOIN labels USING (doc_id) GROUP BY ALL"
 ORACLE["q_stream_chunks"] = f"WITH {DOCS} SELECT doc_id, least(len(t), 1000)::INTEGER AS n_bytes, md5(unhex(h[1:2000])) AS content_md5 FROM d"
+ORACLE["q_stream_detect"] = f"WITH {DOCS} SELECT doc_id, CASE WHEN ({_ASCII}) IS NOT NULL THEN 'ascii' ELSE 'utf-8' END AS encoding, coalesce({_ASCII}, round({_UTF8}, 6)) AS confidence FROM d"
 ORACLE["q_running_bytes"] = """WITH t AS (SELECT conv_id, turn, octet_length(encode(text)) AS n FROM conversations), w AS (
   SELECT conv_id, turn, n, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM t)
 SELECT conv_id, turn, before, before + n >= 500 AS done FROM w"""

@@ -14,7 +14,7 @@ from byteloom.functions import stages as S
 from byteloom.operators import names, scoring, transcode
 from byteloom.operators.detect import column, detect, detect_all, detect_native
 from byteloom.operators.options import DetectOptions
-from byteloom.streaming.chunks import assembled, split
+from byteloom.streaming.chunks import assembled, detect_chunks, split
 from byteloom.tables import codepages, registry
 from byteloom.tables import names as name_tables
 
@@ -253,9 +253,8 @@ def q_sbcs_validity(spark, sf_dir):
 @query
 def q_candidates_by_era(spark, sf_dir):
     """candidates of each era."""
-    dim = registry.dimension(spark)
-    eras = spark.createDataFrame([(e.name, int(e)) for e in (*registry.Era, registry.Era.ALL)], "era_name string, mask int")
-    picked = dim.join(F.broadcast(eras), (F.col("era").bitwiseAND(F.col("mask"))) != 0)
+    eras = F.array(*[F.struct(F.lit(e.name).alias("era_name"), F.lit(int(e)).alias("mask")) for e in (*registry.Era, registry.Era.ALL)])
+    picked = registry.dimension(spark).select("*", F.inline(eras)).where(F.col("era").bitwiseAND(F.col("mask")) != 0)
     return picked.groupBy("era_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_multibyte").cast("long")).alias("n_multibyte"), F.min("ordinal").alias("first_ordinal"))
 
 
@@ -364,16 +363,16 @@ def q_language_names(spark, sf_dir):
 @query
 def q_is_correct(spark, sf_dir):
     """Which detections are right for which truths, over all pairs of encodings."""
-    dim = registry.dimension(spark).select("name")
-    pairs = dim.select(F.col("name").alias("expected")).join(F.broadcast(dim.select(F.col("name").alias("detected"))), F.lit(True))
+    every = F.array(*map(F.lit, registry.REGISTRY))
+    pairs = registry.dimension(spark).select(F.col("name").alias("expected"), F.explode(every).alias("detected"))
     return pairs.groupBy("expected").agg(F.sum(names.is_correct(F.col("expected"), F.col("detected")).cast("long")).alias("n_accepted"))
 
 
 @query
 def q_lang_equiv(spark, sf_dir):
     """Which languages count for each other."""
-    langs = spark.createDataFrame([(x,) for x in name_tables.LANGUAGES], "lang string")
-    pairs = langs.select(F.col("lang").alias("a")).join(F.broadcast(langs.select(F.col("lang").alias("b"))), F.lit(True))
+    langs = spark.createDataFrame([(x,) for x in name_tables.LANGUAGES], "a string")
+    pairs = langs.select("a", F.explode(F.array(*map(F.lit, name_tables.LANGUAGES))).alias("b"))
     return pairs.where(names.is_language_equivalent(F.col("a"), F.col("b"))).select("a", "b")
 
 
@@ -433,6 +432,14 @@ def q_stream_chunks(spark, sf_dir):
     return whole.select("doc_id", F.octet_length(data()).alias("n_bytes"), F.md5(data()).alias("content_md5"))
 
 
+@query
+def q_stream_detect(spark, sf_dir):
+    """Detection of streams put together from 64-byte chunks."""
+    chunks = split(documents(spark, sf_dir), 64, "doc_id")
+    found = detect_chunks(chunks, "doc_id", options=DetectOptions(language=False))
+    return found.select("doc_id", F.col("detected.encoding").alias("encoding"), F.round("detected.confidence", 6).alias("confidence"))
+
+
 @query
 def q_running_bytes(spark, sf_dir):
     """Bytes before each turn of a conversation, and whether the limit was reached."""

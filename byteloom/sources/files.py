@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from byteloom.functions import bytes as B
 from byteloom.operators import names
@@ -44,10 +43,10 @@ def accuracy(results: DataFrame, expected: str, detected: str) -> DataFrame:
 
 
 def nearest_percentiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """Percentiles as the sample at floor(share x n), without interpolation. One row."""
-    ordered = df.where(F.col(column).isNotNull())
-    n = ordered.agg(F.count(F.lit(1)).alias("n"))
-    ranked = ordered.select(column).withColumn("_bucket", F.col(column)).groupBy("_bucket").agg(F.count(F.lit(1)).alias("c"))
-    upto = ranked.withColumn("_upto", F.sum("c").over(W.orderBy("_bucket")))
-    picks = [F.min(F.when(F.col("_upto") > F.least(F.floor(F.lit(s) * F.col("n")), F.col("n") - 1), F.col("_bucket"))).alias(f"p{round(s * 100)}") for s in shares]
-    return upto.join(F.broadcast(n)).agg(*picks)
+    """Percentiles as the sample at floor(share x n), without interpolation. One row; n is counted first."""
+    known = df.where(F.col(column).isNotNull())
+    n = known.count()
+    # The value whose cumulative share first reaches the middle of the sample wanted is that sample.
+    middle = [(min(int(s * n), n - 1) + 0.5) / n if n else 0.5 for s in shares]
+    picks = [F.expr(f"percentile_disc({m}) WITHIN GROUP (ORDER BY `{column}`)").alias(f"p{round(s * 100)}") for s, m in zip(shares, middle)]
+    return known.agg(*picks)
