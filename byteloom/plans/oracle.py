@@ -210,5 +210,8 @@ ORACLE["q_stream_detect"] = f"WITH {DOCS} SELECT doc_id, CASE WHEN ({_ASCII}) IS
 ORACLE["q_running_bytes"] = """WITH t AS (SELECT conv_id, turn, octet_length(encode(text)) AS n FROM conversations), w AS (
   SELECT conv_id, turn, n, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM t)
 SELECT conv_id, turn, before, before + n >= 500 AS done FROM w"""
+#: Plain ASCII with a plus sign may be UTF-7, which native stages can't tell.
+_PLUS = f"({_ASCII}) IS NOT NULL AND {_count('x = ' + chr(39) + '2B' + chr(39))} > 0"
+ORACLE["q_detect_native"] = f"WITH {DOCS} SELECT doc_id, NOT ({_PLUS}) AS decided, CASE WHEN {_PLUS} THEN NULL WHEN ({_ASCII}) IS NOT NULL THEN 'ascii' ELSE 'utf-8' END AS encoding FROM d"
 ORACLE["q_detect_column"] = f"WITH p AS (SELECT page_id, regexp_extract_all(hex(encode(html)), '..') AS t FROM pages) SELECT page_id, 'utf-8' AS encoding, CASE WHEN {_CUT} THEN 'text/plain' ELSE 'text/html' END AS mime_type FROM p"
 ORACLE["q_era_filter"] = f"WITH {DOCS} SELECT doc_id, 'utf-8' AS encoding, ({_ASCII}) IS NULL AS is_structural FROM d"
