@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from byteloom.llm.common import checkpoint
-from byteloom.llm.vectors import BLOCK_ROWS, best, classes, merge, pack_vectors, prepared, query_classes
+from byteloom.llm.vectors import BLOCK_ROWS, classes, merge, pack_vectors, prepared, query_classes
 
 PIVOTS, SCALE = 48, 64
 QUERY_EVERY, K = 20, 20
 #: Vectors of one annulus, which are scored together.
 ANNULUS_ROWS = 64
+#: Queries that are held against one annulus at once.
+QUERIES_AT_ONCE = 4096
 #: What rounding may do to a squared distance, relative to the squares it is made of.
 SLACK = 1e-9
 
@@ -142,38 +144,41 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 def _expand(left: pa.Table, right: pa.Table, dim: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's best of one block: annuli outwards from r = d until nothing left can reach the k + 1 best."""
+    """Each query's best of one block: annuli outwards from r = d until nothing left can reach the k + 1 best.
+
+    All queries take a step outwards at once; those that take the same annulus share one product of matrices.
+    """
     r = left["r"].to_numpy()
     order = np.argsort(r, kind="stable")
     r, x2, ids, x = r[order], left["x2"].to_numpy()[order], left["node"].to_numpy()[order], _decode(left["v"], dim)[order]
     starts = np.arange(0, len(r), ANNULUS_ROWS)
     ends = np.append(starts[1:], len(r))
     inner, outer, longest = r[starts], r[ends - 1], np.maximum.reduceat(x2, starts)
-    who, d, reached, q = right["node"].to_numpy(), right["d"].to_numpy(), right["reached"].to_numpy(), _decode(right["v"], dim)
+    who, d, least, q = right["node"].to_numpy(), right["d"].to_numpy(), right["reached"].to_numpy().copy(), _decode(right["v"], dim)
     q2 = (q * q).sum(axis=1)
     bounds = bound(q2[:, None], longest[None, :], d[:, None], np.clip(d[:, None], inner[None, :], outer[None, :]))
     turn = np.argsort(-bounds, axis=1, kind="stable")
-    best_first = np.take_along_axis(bounds, turn, axis=1)
-    asked, found, scores = [], [], []
-    for i in range(len(who)):
-        ids_i, scores_i, least = np.zeros(0, np.int64), np.zeros(0), reached[i]
-        at = 0
-        while at < len(starts):
-            # Annuli whose bounds still reach: a few at a time, as the k-th best rises while they are scored.
-            may = int(np.searchsorted(-best_first[i, at:], -least, side="right"))
-            if not may:
-                break
-            take = turn[i, at : at + min(may, 8)]
-            at += len(take)
-            own = np.concatenate([np.arange(starts[a], ends[a]) for a in take])
-            product = x[own] @ q[i]  # sums of whole numbers below 2**53, so exact
-            keep = product >= least
-            ids_i, scores_i = np.concatenate([ids_i, ids[own][keep]]), np.concatenate([scores_i, product[keep]])
-            top = best(scores_i, ids_i, k + 1)
-            ids_i, scores_i = ids_i[top], scores_i[top]
-            if len(top) == k + 1:
-                least = max(least, scores_i[-1])
-        asked.append(np.full(len(ids_i), who[i]))
-        found.append(ids_i)
-        scores.append(scores_i)
-    return np.concatenate(asked), np.concatenate(found), np.concatenate(scores).astype(np.int64)
+    bounds = np.take_along_axis(bounds, turn, axis=1)
+    hits = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query, id, score
+    running = np.arange(len(who))
+    for step in range(len(starts)):
+        running = running[bounds[running, step] >= least[running]]
+        if not len(running):
+            break
+        found = [hits]
+        for annulus in np.unique(turn[running, step]):
+            rows = running[turn[running, step] == annulus]
+            for at in range(0, len(rows), QUERIES_AT_ONCE):
+                some, own = rows[at : at + QUERIES_AT_ONCE], slice(starts[annulus], ends[annulus])
+                product = q[some] @ x[own].T  # sums of whole numbers below 2**53, so exact
+                i, j = np.nonzero(product >= least[some, None])
+                found.append([some[i], ids[own][j], product[i, j]])
+        asked, near, score = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((near, -score, asked))
+        asked, near, score = asked[order], near[order], score[order]
+        first = np.flatnonzero(np.append(True, asked[1:] != asked[:-1])) if len(asked) else np.zeros(0, np.int64)
+        place = np.arange(len(asked)) - np.repeat(first, np.diff(np.append(first, len(asked))))
+        full = place == k
+        least[asked[full]] = np.maximum(least[asked[full]], score[full])
+        hits = [c[place <= k] for c in (asked, near, score)]
+    return who[hits[0]], hits[1], hits[2].astype(np.int64)
