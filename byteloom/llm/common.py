@@ -24,6 +24,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def batch_input(df: DataFrame, names: list[str], column: str) -> tuple[DataFrame, int]:
+    """The columns kept and, at the place returned, a string column to work on; one that is kept isn't sent twice."""
+    if column in names and df.schema[column].dataType.simpleString() == "string":
+        return df.select(*names), names.index(column)
+    return df.select(*names, F.col(column).cast("string").alias("_input")), len(names)
+
+
 def crc_fold(id_col: str, folds: int) -> Column:
     """crc32 of the id written as text, modulo ``folds``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds

@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from byteloom.llm.common import batch_input
+
 # Names of HTML elements, and words by which pages name their parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noframes xmp svg math canvas object select".split())
@@ -266,11 +268,12 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Adds ``text``, the main text of ``html_col``, to the columns kept."""
     names = [c for c in (pages.columns if keep is None else keep) if c != "text"]
+    rows, at = batch_input(pages, names, html_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column(len(names))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*names, "text"])
+            texts = [main_text(x.as_py()) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string())], [*names, "text"])
 
     schema = StructType([*pages.select(*names).schema, StructField("text", StringType())])
-    return pages.select(*names, F.col(html_col).cast("string").alias("_html")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

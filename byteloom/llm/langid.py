@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from byteloom.llm.common import batch_input
 from byteloom.llm.ngrams import blocks, hashed, letters
 
 BITS, ORDERS, ALPHA = 14, (1, 2, 3), 0.5
@@ -108,11 +109,12 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     """Adds ``lang_pred`` and ``score`` to the columns kept. The model's size is bounded by 2**BITS and the languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    rows, at = batch_input(docs, names, text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, values = score(shared.value, batch.column(len(names)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(values, pa.float64())], [*names, "lang_pred", "score"])
+            langs, values = score(shared.value, batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(langs, pa.string()), pa.array(values, pa.float64())], [*names, "lang_pred", "score"])
 
     schema = StructType([*docs.select(*names).schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.select(*names, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

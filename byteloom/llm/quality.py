@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from byteloom.llm.common import batch_input
 from byteloom.llm.ngrams import blocks, hashed
 
 BITS, ORDERS = 12, (1, 2, 3)
@@ -153,11 +154,12 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", keep: lis
     """Adds ``score`` to the columns kept. The model's size is bounded by the sample and 2**BITS."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in (docs.columns if keep is None else keep) if c != "score"]
+    rows, at = batch_input(docs, names, text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = score(shared.value, batch.column(len(names)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], [*names, "score"])
+            values = score(shared.value, batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(values, pa.float64())], [*names, "score"])
 
     schema = StructType([*docs.select(*names).schema, StructField("score", DoubleType())])
-    return docs.select(*names, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

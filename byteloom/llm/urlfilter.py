@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from byteloom.llm.common import batch_input
+
 #: Cells (URLs x bytes) of a group of URLs that run side by side.
 CELLS_AT_ONCE = 1 << 22
 
@@ -130,18 +132,19 @@ def judge(pages: DataFrame, rules: list[Rule], blocked: list[str], url_col: str
     names = [c for c in (pages.columns if keep is None else keep) if c not in ("host", "path", "rule", "verdict")]
     ranked = sorted(rules, key=lambda r: -len(r.name))
     globs = [g for r in ranked for g in r.globs()]
+    rows, at = batch_input(pages, names, url_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(globs + blocked)
         for batch in batches:
-            parts = [canonical(u) for u in batch.column(len(names)).to_pylist()]
+            parts = [canonical(u) for u in batch.column(at).to_pylist()]
             fits = automaton.match([(h + p).encode() for h, p in parts])
             by_rule = fits[:, : len(globs)].reshape(len(parts), len(ranked), 2).any(axis=2) if ranked else np.zeros((len(parts), 0), bool)
             bad = fits[:, len(globs) :].any(axis=1)
             rule = [ranked[k] if any_fits else None for any_fits, k in zip(by_rule.any(axis=1), by_rule.argmax(axis=1) if ranked else np.zeros(len(parts), int))]
             verdict = [r.action if r else "block" if b else "allow" for r, b in zip(rule, bad)]
             added = [[h for h, _ in parts], [p for _, p in parts], [r.name if r else None for r in rule], verdict]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, pa.string()) for x in added)], [*names, "host", "path", "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(x, pa.string()) for x in added)], [*names, "host", "path", "rule", "verdict"])
 
     schema = StructType([*pages.select(*names).schema, *(StructField(c, StringType()) for c in ("host", "path", "rule", "verdict"))])
-    return pages.select(*names, F.col(url_col).cast("string").alias("_url")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
