@@ -72,16 +72,6 @@ def query_classes(packed: DataFrame, every: int) -> tuple[DataFrame, DataFrame]:
     return nodes, asked.join(nodes, "v").select(F.col("id").alias("query_id"), "node")
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k largest scores, ties to smaller ids, best first."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= least)
-    else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((ids[some], -scores[some]))[:k]]
-
-
 def merge(partial: DataFrame, asked: DataFrame, nodes: DataFrame, k: int, score_type: str) -> DataFrame:
     """The k best of each query from (node, found, score) rows, which may repeat: a class counts once.
 
