@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from byteloom.llm import ann, html, pivots, queries, urlfilter, vectors
+from byteloom.llm import ann, html, pivots, queries, urlfilter
 
 PAGES = "page_id long, url string, html string, text string, rule string, host string"
 
@@ -195,8 +195,3 @@ def test_hadamard_keeps_lengths_and_angles():
     near = ann.axes(x, 3, 4)
     both = np.concatenate([turned, -turned], axis=1)
     assert np.array_equal(near[:, 0], both.argmax(axis=1))
-
-
-def test_best_breaks_ties_by_id():
-    ids, scores = np.array([5, 3, 9, 1]), np.array([1.0, 2.0, 2.0, 1.0])
-    assert ids[vectors.best(scores, ids, 3)].tolist() == [3, 9, 1]
