@@ -29,7 +29,6 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from byteloom.llm.common import batch_input
