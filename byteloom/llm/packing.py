@@ -35,6 +35,7 @@ SEPARATOR = 0
 #: Words longer than this (in bytes) are encoded each time; the worker keeps at most so many others.
 WORD_BYTES, WORDS_KEPT = 64, 400_000
 MARKS = string.punctuation.encode()
+LATIN_END = "\u0250"
 COMBINING = re.compile("[\u0300-\u036f]")
 #: Pieces of one length that one task numbers, about.
 RANK_ROWS = 500
@@ -59,14 +60,23 @@ class WordEncoder:
     def __init__(self, tokenizer_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
+        # Words of small Latin letters are what normalising and splitting would leave them; they skip both.
+        self.bare = Tokenizer.from_file(tokenizer_path)
+        self.bare.normalizer, self.bare.pre_tokenizer = None, ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        out = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in out]
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found = {}
+        plain = {w: s for w in words if (s := w.decode()).isalpha() and s.islower() and max(s) < LATIN_END}
+        rest = {w: w.decode() for w in words if w not in plain}
+        for tokenizer, part in ((self.bare, plain), (self.tokenizer, rest)):
+            out = tokenizer.encode_batch_fast(list(part.values()), add_special_tokens=False)
+            found.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, out))
+        return found
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """The ids of new words; they are kept while there is room, which the frequent ones, seen early, find."""
@@ -74,7 +84,7 @@ class WordEncoder:
         stems = {w: _stem(w) for w in words}
         parts = {part for w, stem in stems.items() for part in (stem, w[len(stem) :]) if part}
         new = [w for w in parts if w not in known]
-        ids = dict(zip(new, self._encode(new)))
+        ids = self._encode(new)
         ids[b""] = b""
         for w, stem in stems.items():
             if w not in ids:
