@@ -53,7 +53,7 @@ def position(data: Column, needle: str) -> Column:
 
 def count(data: Column, byte_class: str) -> Column:
     """How many bytes are of the class (a regular-expression character class)."""
-    return F.octet_length(data) - F.length(F.regexp_replace(latin1(data), byte_class, ""))
+    return F.octet_length(data) - F.length(F.regexp_replace(latin1(data), f"{byte_class}++", ""))
 
 
 def number(data: Column, offset: int, size: int, little: bool = False) -> Column:
@@ -77,13 +77,21 @@ def non_ascii(data: Column) -> Column:
     return count(data, P.HIGH)
 
 
-def structure(data: Column, encoding: str) -> Column:
-    """(leads, valid, mb_bytes, lead_diversity): how the bytes read as sequences of a multi-byte encoding.
+def condensed(data: Column) -> Column:
+    """The bytes as characters, without those that no multi-byte sequence can hold.
+
+    Sequences have an ASCII byte right after a high one alone. So of each run of ASCII the first byte stays, and a NUL,
+    which ends any sequence, stands for the rest. Mostly Western text becomes very short.
+    """
+    return F.regexp_replace(latin1(data), r"(?<=[\x00-\x7F])[\x00-\x7F]++", "\x00")
+
+
+def structure(text: Column, encoding: str) -> Column:
+    """(leads, valid, mb_bytes, lead_diversity): how ``condensed`` bytes read as sequences of a multi-byte encoding.
 
     The regular expression walks as a decoder does: a valid sequence is taken whole, else one byte is skipped.
     """
     lead, sequence = P.SEQUENCES[encoding]
-    text = latin1(data)
     valid = F.regexp_extract_all(text, F.lit(f"(?s){sequence}"), F.lit(0))
     leads = F.size(F.regexp_extract_all(text, F.lit(f"(?s){sequence}|{lead}"), F.lit(0)))
     return F.struct(
@@ -110,9 +118,11 @@ def cjk_gate(s: Column, high: Column) -> Column:
 def utf8_bytes(data: Column) -> Column:
     """Bytes in multi-byte sequences of valid UTF-8; null if it isn't, or has none. A last sequence may be cut off."""
     text = latin1(data)
+    high = non_ascii(data)
     rest = F.length(F.regexp_replace(text, rf"(?s)[\x00-\x7F]++|{P.UTF8_SEQUENCE}|{P.UTF8_CUT}", ""))
     within = F.length(F.regexp_replace(text, rf"(?s)({P.UTF8_SEQUENCE})|[\x00-\x7F]++|{P.UTF8_CUT}", "$1"))
-    return F.when((rest == 0) & (within > 0), within)
+    # What is valid to the end needs no walk.
+    return F.when(F.is_valid_utf8(data), F.nullif(high, F.lit(0))).otherwise(F.when((rest == 0) & (within > 0), within))
 
 
 def utf8_confidence(data: Column) -> Column:
@@ -125,9 +135,10 @@ def utf8_confidence(data: Column) -> Column:
 def ascii_confidence(data: Column) -> Column:
     """1 for text bytes alone, 0.99 with at most 5 % NULs besides, else null."""
     other, nulls = count(data, P.NOT_TEXT), count(data, r"\x00")
-    return F.when(other == 0, 1.0).when((other == nulls) & (nulls <= F.octet_length(data) * 0.05), 0.99)
+    with_nulls = holds(data, b"\x00") & (other == nulls) & (nulls <= F.octet_length(data) * 0.05)
+    return F.when(~latin1(data).rlike(P.NOT_TEXT), 1.0).when(with_nulls, 0.99)
 
 
 def is_binary(data: Column) -> Column:
     """More than 1 % control bytes."""
-    return count(data, P.CONTROL) > F.octet_length(data) * 0.01
+    return latin1(data).rlike(P.CONTROL) & (count(data, P.CONTROL) > F.octet_length(data) * 0.01)

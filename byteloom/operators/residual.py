@@ -61,9 +61,12 @@ def decodes(data: bytes, encoding: str) -> bool:
     return not holds_any(data, S._web_undefined(encoding) or frozenset())
 
 
+_SINGLE_BYTE = frozenset(codepages.single_byte())
+
+
 def is_valid(data: bytes, encoding: str) -> bool:
     """Whether a candidate stays: no byte that its code page lacks, nor an error of its decoder."""
-    if encoding in codepages.single_byte():
+    if encoding in _SINGLE_BYTE:
         return not holds_any(data, codepages.undefined(encoding))
     return decodes(data, encoding)
 
@@ -75,14 +78,23 @@ class Structure:
     diversity: int
 
 
+_ASCII_REST = re.compile(rb"(?<=[\x00-\x7F])[\x00-\x7F]+")
+
+
+def condensed(data: bytes) -> bytes:
+    """As ``functions.bytes.condensed``: what multi-byte sequences can't hold is left out."""
+    return _ASCII_REST.sub(b"\x00", data)
+
+
 def structure(data: bytes, encoding: str) -> Structure:
+    """How bytes, condensed or not, read as sequences of a multi-byte encoding."""
     if encoding not in P.SEQUENCES:
         return Structure(0.0, 0, 256)
     lead, sequence = P.SEQUENCES[encoding]
     every = _compiled(f"({sequence})|{lead}").findall(data)
     valid = [v for v in every if v]
     joined = b"".join(valid)
-    return Structure(len(valid) / len(every) if every else 0.0, sum(np.frombuffer(joined, np.uint8) > 0x7F), len({v[:1] for v in valid}))
+    return Structure(len(valid) / len(every) if every else 0.0, high_bytes(joined), len({v[:1] for v in valid}))
 
 
 _ASCII = bytes(range(0x80))
@@ -186,14 +198,18 @@ class Profile:
         self.pairs, count = np.unique(pairs, return_counts=True)
         self.weights = count * idf[self.pairs].astype(np.float64)
         self.norm = float(np.sqrt(np.square(self.weights).sum()))
+        self.similarities: np.ndarray | None = None
 
     def cosines(self, models: Models, rows: range) -> np.ndarray:
-        """The similarity to each of an encoding's models."""
-        if not len(rows) or not self.norm:
-            return np.zeros(len(rows))
-        dots = models.weights[rows.start : rows.stop, self.pairs].astype(np.float64) @ self.weights
-        scale = models.norms[rows.start : rows.stop] * self.norm
-        return np.divide(dots, scale, out=np.zeros(len(rows)), where=scale > 0)
+        """The similarity to each of an encoding's models. All models are done at once, at the first call.
+
+        Products and sums are of whole numbers below 2**53, so equal models give equal results.
+        """
+        if self.similarities is None:
+            dots = self.weights @ models.by_cell[self.pairs].astype(np.float64)
+            scale = models.norms * self.norm
+            self.similarities = np.divide(dots, scale, out=np.zeros(len(scale)), where=scale > 0)
+        return self.similarities[rows.start : rows.stop]
 
     def best(self, models: Models, encoding: str) -> tuple[float, str | None]:
         """The best model's similarity and language; the first of equals."""
@@ -302,12 +318,12 @@ def early(data: bytes, options: DetectOptions) -> Found | None:
 
 def ranked(data: bytes, options: DetectOptions, models: Models) -> list[Found]:
     """What structure and statistics say, likeliest first."""
-    high, kept, structures = high_bytes(data), [], {}
+    high, short, kept, structures = high_bytes(data), condensed(data), [], {}
     for e in options.candidates:
         if not is_valid(data, e.name):
             continue
         if e.is_multibyte:
-            s = structures[e.name] = structure(data, e.name)
+            s = structures[e.name] = structure(short, e.name)
             if s.ratio < 0.05 or high < 2 or s.mb_bytes / high < 0.35 or high >= 16 and s.diversity < 4:
                 continue
         kept.append(e)

@@ -112,9 +112,10 @@ def valid_candidates(df: DataFrame, content: str = "content", output: str = "val
 def gated(df: DataFrame, content: str = "content") -> DataFrame:
     """Adds a struct for each multi-byte encoding with an analyser: its pair ratio, coverage, lead diversity and gate."""
     data = F.col(content)
-    wide = df.withColumn("_high", B.non_ascii(data)).select("*", *[B.structure(data, e).alias(f"_{e}") for e in P.SEQUENCES if e != "big5"])
+    wide = df.withColumn("_high", B.non_ascii(data)).withColumn("_text", B.condensed(data))
+    wide = wide.select("*", *[B.structure(F.col("_text"), e).alias(f"_{e}") for e in P.SEQUENCES if e != "big5"])
     for e in P.SEQUENCES:
         if e != "big5":
             s, high = F.col(f"_{e}"), F.col("_high")
             wide = wide.withColumn(e, F.struct(B.pair_ratio(s).alias("ratio"), B.coverage(s, high).alias("coverage"), s["lead_diversity"].alias("lead_diversity"), B.cjk_gate(s, high).alias("kept")))
-    return wide.drop("_high", *[f"_{e}" for e in P.SEQUENCES if e != "big5"])
+    return wide.drop("_high", "_text", *[f"_{e}" for e in P.SEQUENCES if e != "big5"])

@@ -225,7 +225,7 @@ def q_markup_declared(spark, sf_dir):
 def _structure_query(encoding: str) -> Query:
     def run(spark, sf_dir):
         s = F.col("s")
-        rows = documents(spark, sf_dir).select("doc_id", B.structure(data(), encoding).alias("s"))
+        rows = documents(spark, sf_dir).select("doc_id", B.condensed(data()).alias("t")).select("doc_id", B.structure(F.col("t"), encoding).alias("s"))
         return rows.select("doc_id", s["leads"].alias("leads"), s["valid"].alias("valid"), s["mb_bytes"].alias("mb_bytes"), s["lead_diversity"].alias("lead_diversity"), F.round(B.pair_ratio(s), 6).alias("ratio"))
 
     run.__name__ = f"q_struct_{encoding}"

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -54,6 +54,11 @@ class Models:
         """The rows of an encoding's models."""
         return self.index.get(encoding, range(0))
 
+    @cached_property
+    def by_cell(self) -> np.ndarray:
+        """The weights with a row for each cell, so that those of one pair of bytes lie together."""
+        return np.ascontiguousarray(self.weights.T)
+
     @property
     def index(self) -> dict[str, range]:
         return _index(self.keys)

@@ -49,7 +49,7 @@ def walk(data, encoding):
 @pytest.mark.parametrize("encoding", list(P.SEQUENCES))
 def test_structure_is_a_left_to_right_walk(spark, encoding):
     data = edge_bytes(400)
-    got = frame(spark, data).select("id", B.structure(F.col("content"), encoding).alias("s")).collect()
+    got = frame(spark, data).select("id", B.structure(B.condensed(F.col("content")), encoding).alias("s")).collect()
     for r in got:
         assert tuple(r["s"]) == walk(data[r["id"]], encoding), data[r["id"]]
         python = R.structure(data[r["id"]], encoding)
