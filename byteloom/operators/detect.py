@@ -29,13 +29,16 @@ def _standard_models() -> Models:
     return standard()
 
 
-def _models(shared) -> Models:
-    """The models broadcast, or those that each worker makes once from the samples."""
-    return shared.value if shared is not None else _standard_models()
+@lru_cache(1)
+def _shared_standard(application: str):
+    from pyspark import SparkContext
+
+    return SparkContext.getOrCreate().broadcast(_standard_models())
 
 
 def share(spark: SparkSession, models: Models | None):
-    return None if models is None else spark.sparkContext.broadcast(models)
+    """The models as a broadcast, of 64 kB for each; the standard ones are sent once for a session."""
+    return _shared_standard(spark.sparkContext.applicationId) if models is None else spark.sparkContext.broadcast(models)
 
 
 def _displayed(found: residual.Found, options: DetectOptions) -> dict:
@@ -61,7 +64,7 @@ def _rest_udf(options: DetectOptions, shared):
 
     @F.pandas_udf(S.RESULT)
     def rest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        models = _models(shared)
+        models = shared.value
         for contents, encodings in batches:
             out = []
             for content, encoding in zip(contents, encodings):
@@ -136,7 +139,7 @@ def detect_all(
 
     @F.pandas_udf(f"array<{S.RESULT}>")
     def everything(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        models = _models(shared)
+        models = shared.value
         for contents in batches:
             out = []
             for content in contents:
