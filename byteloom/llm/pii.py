@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 #: Base kinds in the order in which they are listed, then those that the method adds.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
-_LOCAL, _OCTET = "A-Za-z0-9._%+-", "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}+)"
+#: A number of at most 255 with any zeros before it; zeros alone are one too.
+_LOCAL, _OCTET = "A-Za-z0-9._%+-", "(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?+)|0++)"
 PATTERNS = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",

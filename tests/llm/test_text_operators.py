@@ -271,6 +271,20 @@ def test_pii_base_spans(spark, odd, tmp_path):
         assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(sum(s.startswith(k + ":") for s in want) for k, _ in BASE)
 
 
+def test_pii_zero_octets(spark, tmp_path):
+    rng = random.Random(7)
+    octets = ["0", "00", "000", "1", "010", "0255", "255", "0256", "256", "100", "300", "0" * 40, "0" * 3000]
+    texts = ["10.0.0.1", "0.0.0.0", "127.0.0.1", "8.8.8.0", "192.168.0.1", "at 10.0.0.1, or 256.0.0.1."] + ["x".join(".".join(rng.choice(octets) for _ in range(rng.randint(3, 9))) for _ in range(3)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in queries.op8_pii(spark, write(spark, tmp_path, docs)).collect():
+        want = base_spans(texts[r["doc_id"]])
+        assert [s for s in r["spans"].split(",") if s and s.split(":")[0] in dict(BASE)] == want
+        assert r["n_ip"] == sum(s.startswith("ip:") for s in want) and (r["n_ip"] == 1 or r["doc_id"] > 5)
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+    clean = [r["text"] for r in pii.redact(docs).orderBy("doc_id").limit(6).collect()]
+    assert clean == ["[IP]"] * 5 + ["at [IP], or 256.0.0.1."]
+
+
 def test_pii_added_spans_and_redaction(spark, none):
     texts = ["pay to GB82 WEST 1234 5698 7654 32 please", "GB83 WEST 1234 5698 7654 32", "my ssn is 123-45-6789", "part no 123-45-6789", "a@b.com and 1.2.3.4, card 4111 1111 1111 1111", None]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
