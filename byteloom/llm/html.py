@@ -12,7 +12,8 @@ it. All blocks of one path are judged together, as a template gives its parts pa
 
 Content nodes also have to lie in the region that holds most of the content paths' text: the deepest tag that holds
 SHARE of it (an ``article``, if there is one). Tags, roles and names that say what they hold (``nav``, ``footer``,
-``ad``, ``cookie``, ``comments``, ...) give their paths the ratio zero. All such words are fixed values below.
+``ad``, ``cookie``, ``comments``, ...) give their paths the ratio zero, but for wrappers of most of the page's text
+(``settle``). All such words are fixed values below.
 
 Nulls and edge cases: null or empty html, and pages with no content, give an empty text; tags that are cut off or
 never closed end with the page or with the tag around them; text outside any tag is a block; repeated rows give equal
@@ -51,6 +52,10 @@ BOILER_WORDS = frozenset(
     comment comments commentlist discussion disqus replies reply respond reader readers feedback
     share sharing social follow subscribe subscription newsletter signup login search form tags tagcloud byline meta skip""".split()
 )
+#: What readers or the site itself add: pages are seldom wrapped in it, so more is asked before it is taken for a wrapper.
+ADDED_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond reader readers feedback cookie cookies consent gdpr paywall".split())
+#: Tags that hide what they hold, whatever its size; those left of HIDDEN only speak against it.
+UNSEEN = RAW | frozenset("head button datalist option audio video map".split())
 MARKS = re.compile(r"[.,;:!?…、。，！？¿¡]")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -65,7 +70,11 @@ class Node:
     tag: str
     name: str
     parent: Node | None
-    boiler: bool
+    unseen: bool  # hidden, with all it holds
+    named: bool  # its own tag, role or name speaks against it
+    added: bool  # by one of ADDED_WORDS
+    boiler: bool = False  # hidden or named, or within what is; set by ``settle``
+    plain: int = 0  # characters outside links that it holds
 
 
 @dataclass
@@ -85,7 +94,8 @@ class _Reader:
     text: list[str] = field(default_factory=list)
     linked: int = 0
     links: int = 0
-    node: Node = field(default_factory=lambda: Node("", "", None, False))
+    node: Node = field(default_factory=lambda: Node("", "", None, False, False, False))
+    nodes: list[Node] = field(default_factory=list)
 
     def flush(self) -> None:
         if self.text:
@@ -129,9 +139,10 @@ class _Reader:
                     self.leave(at)
                 at = at.parent
         self.node = Node(tag, *self._named(tag, attributes))
+        self.nodes.append(self.node)
 
-    def _named(self, tag: str, attributes: str) -> tuple[str, Node, bool]:
-        name, boiler = tag, self.node.boiler or tag in HIDDEN
+    def _named(self, tag: str, attributes: str) -> tuple[str, Node, bool, bool, bool]:
+        name, unseen, boiler, added = tag, self.node.unseen or tag in UNSEEN, tag in HIDDEN, False
         for m in ATTRIBUTE.finditer(attributes) if attributes.strip(" /") else ():
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
             if key in ("class", "id"):
@@ -140,16 +151,17 @@ class _Reader:
                 if tag not in ("body", "html", "article", "main"):
                     named = BOILER_WORDS.intersection(words)
                     boiler |= bool(named - {"header"} if self.opened("article") else named)
+                    added |= bool(named & ADDED_WORDS)
             elif key == "role":
                 boiler |= value.lower() in BOILER_ROLES
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                boiler = True
+                unseen = True
             elif key == "style":
-                boiler |= "display:none" in value.replace(" ", "").lower()
+                unseen |= "display:none" in value.replace(" ", "").lower()
         # The page's own header may hold the article's title; only one inside the article is content.
-        if tag == "header" and self.opened("article") and not self.node.boiler:
+        if tag == "header" and self.opened("article"):
             boiler = False
-        return name, self.node, boiler
+        return name, self.node, unseen, boiler, added
 
     def close(self, tag: str) -> None:
         if tag in INLINE:
@@ -188,9 +200,42 @@ def parse(page: str) -> list[Block]:
             reader.open(tag, m[3])
     reader.add(page[at:])
     reader.flush()
+    settle(reader.nodes, reader.blocks)
     return reader.blocks
 
 
+def settle(nodes: list[Node], blocks: list[Block]) -> None:
+    """Says which nodes are boilerplate. ``nodes`` has each after its parent.
+
+    What a name speaks against takes all that it holds along, unless it is a wrapper: it holds ``main``, or most of the
+    page's plain text with next to nothing left outside such names (no sentence at all, if readers' or cookie words are
+    the name). A wrapper's own parts are judged anew.
+    """
+    for b in blocks:
+        if not b.node.unseen:
+            b.node.plain += len(b.text) - b.linked
+    total = sum(b.node.plain for b in {id(b.node): b for b in blocks}.values())
+    for n in reversed(nodes):
+        n.parent.plain += n.plain
+    for n in nodes:
+        at = n.parent
+        while n.tag == "main" and not (n.unseen or n.named) and at is not None:
+            at.named, at = False, at.parent
+    while True:
+        for n in nodes:
+            n.boiler = n.unseen or n.named or n.parent.boiler
+        left = [b for b in blocks if not b.node.boiler and b.linked < len(b.text)]
+        little = sum(len(b.text) - b.linked for b in left) <= (1 - SHARE) * total
+        silent = not any(MARKS.search(b.text) for b in left)
+        wrapper = next((n for n in nodes if n.named and not n.unseen and not n.parent.boiler and 2 * n.plain > total and (silent if n.added else little)), None)
+        if wrapper is None:
+            return
+        # With it go those in it that hold the same text; they would be next, one by one.
+        for n in nodes:
+            if n.named and n.plain == wrapper.plain and (silent if n.added else little):
+                n.named = False
+
+
 def _path(node: Node) -> str:
     parts = []
     while node.parent is not None:

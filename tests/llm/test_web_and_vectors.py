@@ -91,6 +91,28 @@ def test_main_text_without_boilerplate(wrap):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        "<div class='content-sidebar-wrap'><main>{}</main>SIDE</div>",
+        "<div class='with-sidebar'><div>{}</div>SIDE</div>",
+        "<div id='search-and-content'>{}SIDE</div>",
+        "<form id='aspnetForm'><div class='menu-left'><div>{}</div>SIDE</div></form>",
+        "<div class='comments-open'><article>{}</article>SIDE</div>",
+    ],
+)
+def test_main_text_in_named_wrappers(wrap):
+    body = f"<h1>A title</h1>{f'<p>{ARTICLE}</p>' * 9}"
+    page = f"<body>{BOILER['menu']}{BOILER['header']}{wrap.format(body).replace('SIDE', BOILER['sidebar2'] + BOILER['ad'])}{BOILER['footer']}</body>"
+    assert html.main_text(page) == "\n".join(["A title"] + [ARTICLE] * 9)
+
+
+def test_long_comments_are_no_wrapper():
+    talk = "".join(f"<p>{'I, for one, disagree. ' * 20}</p>" for _ in range(20))
+    page = f"<body><div class='story'><p>{ARTICLE}</p></div><section id='comments'>{talk}</section><div class='with-sidebar' hidden>{talk}</div></body>"
+    assert html.main_text(page) == ARTICLE
+
+
 def test_html_edges(spark, tmp_path):
     odd = [None, "", "   ", "plain text, no tags.", "<p>open, never closed", "<", "<p", "<!-- open", "<script>x", "<p>a</div></p></span>b</p>", "<p>" * 5000 + "deep, text." + "</p>" * 5000, "<div>" * 3000 + "deep, text.", "&lt;b&gt; &#233; &nope; &amp;amp;", f"<p>{'long, text. ' * 50_000}</p>", '<p a="x>y">q, r.</p>']
     df = spark.createDataFrame([(i, "u", h, "clash", "r", "h") for i, h in enumerate([*odd, odd[3]])], PAGES)
