@@ -11,7 +11,7 @@ it. All blocks of one path are judged together, as a template gives its parts pa
   weighted by text, are dropped.
 
 Content nodes also have to lie in the region that holds most of the content paths' text: the deepest tag that holds
-SHARE of it (an ``article``, if there is one). Tags, roles and names that say what they hold (``nav``, ``footer``,
+SHARE of it (or ``article`` and ``main``, if together they hold SHARE). Tags, roles and names that say what they hold (``nav``, ``footer``,
 ``ad``, ``cookie``, ``comments``, ...) give their paths the ratio zero, but for wrappers of most of the page's text
 (``settle``). All such words are fixed values below.
 
@@ -52,8 +52,9 @@ BOILER_WORDS = frozenset(
     comment comments commentlist discussion disqus replies reply respond reader readers feedback
     share sharing social follow subscribe subscription newsletter signup login search form tags tagcloud byline meta skip""".split()
 )
-#: What readers or the site itself add: pages are seldom wrapped in it, so more is asked before it is taken for a wrapper.
-ADDED_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond reader readers feedback cookie cookies consent gdpr paywall".split())
+#: Words that wrappers of whole pages hold too (``with-sidebar``). By any other word, more is asked of a wrapper.
+LAYOUT_WORDS = frozenset("sidebar aside rail header masthead nav navbar navigation menu menus topbar toolbar toc breadcrumb breadcrumbs widget widgets search form login more meta skip tags".split())
+READER_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond reader readers feedback".split())
 #: Tags that hide what they hold, whatever its size; those left of HIDDEN only speak against it.
 UNSEEN = RAW | frozenset("head button datalist option audio video map".split())
 MARKS = re.compile(r"[.,;:!?…、。，！？¿¡]")
@@ -72,7 +73,7 @@ class Node:
     parent: Node | None
     unseen: bool  # hidden, with all it holds
     named: bool  # its own tag, role or name speaks against it
-    added: bool  # by one of ADDED_WORDS
+    added: bool  # by more than LAYOUT_WORDS or a form
     boiler: bool = False  # hidden or named, or within what is; set by ``settle``
     plain: int = 0  # characters outside links that it holds
 
@@ -142,7 +143,7 @@ class _Reader:
         self.nodes.append(self.node)
 
     def _named(self, tag: str, attributes: str) -> tuple[str, Node, bool, bool, bool]:
-        name, unseen, boiler, added = tag, self.node.unseen or tag in UNSEEN, tag in HIDDEN, False
+        name, unseen, boiler, added = tag, self.node.unseen or tag in UNSEEN, tag in HIDDEN, tag in HIDDEN and tag != "form"
         for m in ATTRIBUTE.finditer(attributes) if attributes.strip(" /") else ():
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
             if key in ("class", "id"):
@@ -151,9 +152,14 @@ class _Reader:
                 if tag not in ("body", "html", "article", "main"):
                     named = BOILER_WORDS.intersection(words)
                     boiler |= bool(named - {"header"} if self.opened("article") else named)
-                    added |= bool(named & ADDED_WORDS)
+                    added |= bool(named - LAYOUT_WORDS)
+                elif tag == "article":  # one of its own may be tagged in any way; a comment is no text of the page's
+                    named = (BOILER_WORDS - {"header"} if self.opened("article") else READER_WORDS).intersection(words)
+                    boiler |= bool(named)
+                    added |= bool(named)
             elif key == "role":
                 boiler |= value.lower() in BOILER_ROLES
+                added |= value.lower() in BOILER_ROLES - {"form", "search"}
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 unseen = True
             elif key == "style":
@@ -208,8 +214,8 @@ def settle(nodes: list[Node], blocks: list[Block]) -> None:
     """Says which nodes are boilerplate. ``nodes`` has each after its parent.
 
     What a name speaks against takes all that it holds along, unless it is a wrapper: it holds ``main``, or most of the
-    page's plain text with next to nothing left outside such names (no sentence at all, if readers' or cookie words are
-    the name). A wrapper's own parts are judged anew.
+    page's plain text with next to nothing left outside such names (no sentence at all, if its tag, role or name is
+    more than one of layout). A wrapper's own parts are judged anew.
     """
     for b in blocks:
         if not b.node.unseen:
@@ -271,6 +277,14 @@ def rate(blocks: list[Block]) -> None:
         b.fused = 0.0 if b.node.boiler else text * math.log1p(marks)
 
 
+def _within(node: Node | None, of: set) -> bool:
+    while node is not None:
+        if id(node) in of:
+            return True
+        node = node.parent
+    return False
+
+
 def main_text(page: str | None) -> str:
     blocks = parse(page) if page else []
     if not blocks:
@@ -295,15 +309,13 @@ def main_text(page: str | None) -> str:
     # The deepest section that holds most of the content; articles side by side are content together.
     region = max((d, k) for k, (d, n) in nodes.items() if held[k] >= SHARE * total and (n.tag in SECTIONS or n.parent is None))[1] if total else None
     articles = {id(n) for _, n in nodes.values() if n.tag in ("article", "main")}
+    # Cards and comments are articles too: the tags count if they hold as much as a region has to.
+    if sum(len(b.text) for b in chosen if _within(b.node, articles)) < SHARE * total:
+        articles = set()
     out = []
     for b in blocks:
-        inside, in_article, node = False, False, b.node
-        while node is not None:
-            inside |= id(node) == region
-            in_article |= id(node) in articles
-            node = node.parent
         # Inside the region, blocks go out only by name or as lists of links. A page's one title may stand before it.
-        inside = in_article if articles else inside or b.node.tag == "h1"
+        inside = _within(b.node, articles or {region}) or not articles and b.node.tag == "h1"
         if inside and not b.node.boiler and (b.linked < len(b.text) or b.fused >= THRESHOLD * mean):
             out.append(b.text)
     return "\n".join(out)

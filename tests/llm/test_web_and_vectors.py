@@ -113,6 +113,24 @@ def test_long_comments_are_no_wrapper():
     assert html.main_text(page) == ARTICLE
 
 
+@pytest.mark.parametrize("name", ["", " class='comment-body'", " class='teaser'"])
+def test_short_articles_leave_the_region(name):
+    story = "".join(f"<p>{ARTICLE}</p>" for _ in range(20))
+    card = f"<article{name}><p>A card, with marks. And more, as one does!</p></article>"
+    page = f"<body>{BOILER['menu']}<div id='story'>{story}</div>{card}{BOILER['footer']}</body>"
+    assert html.main_text(page) == "\n".join([ARTICLE] * 20)
+
+
+def test_comments_in_an_article_tag():
+    comments = "".join(f"<article class='comment-body'><p>{'I, for one, disagree. ' * 5}</p></article>" for _ in range(3))
+    assert html.main_text(f"<body><article class='post category-popular'><p>{ARTICLE}</p>{comments}</article>{comments}</body>") == ARTICLE
+
+
+def test_long_footers_are_no_wrapper():
+    footer = f"<footer>{'All rights are reserved, as ever. ' * 20}</footer>"
+    assert html.main_text(f"<body><article><h1>A title.</h1><p>Short.</article>{footer}</body>") == "A title.\nShort."
+
+
 def test_html_edges(spark, tmp_path):
     odd = [None, "", "   ", "plain text, no tags.", "<p>open, never closed", "<", "<p", "<!-- open", "<script>x", "<p>a</div></p></span>b</p>", "<p>" * 5000 + "deep, text." + "</p>" * 5000, "<div>" * 3000 + "deep, text.", "&lt;b&gt; &#233; &nope; &amp;amp;", f"<p>{'long, text. ' * 50_000}</p>", '<p a="x>y">q, r.</p>']
     df = spark.createDataFrame([(i, "u", h, "clash", "r", "h") for i, h in enumerate([*odd, odd[3]])], PAGES)
