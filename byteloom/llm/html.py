@@ -10,6 +10,10 @@ it. All blocks of one path are judged together, as a template gives its parts pa
 * they are fused as text ratio x log(1 + punctuation ratio), and paths below THRESHOLD of the page's mean fused ratio,
   weighted by text, are dropped.
 
+Within the content's region, a path of a tag of PARTS (a heading, a paragraph, an item, ...) stays whatever its ratio;
+other paths (``div``, ``section``, loose text) stay only if their ratio passes before smoothing too, as an advert or
+a copyright line amid paragraphs is lifted by them.
+
 Content nodes also have to lie in the region that holds most of the content paths' text: the deepest tag that holds
 SHARE of it (or ``article`` and ``main``, if together they hold SHARE). Tags, roles and names that say what they hold (``nav``, ``footer``,
 ``ad``, ``cookie``, ``comments``, ...) give their paths the ratio zero, but for wrappers of most of the page's text
@@ -42,6 +46,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 SECTIONS = frozenset("article main section div body td".split())
+#: Headings and what belongs to running text whatever its ratio: paragraphs, items, cells, code, quotes.
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th caption pre blockquote".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 BOILER_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense adsbygoogle banner billboard sponsor sponsored sponsors promo promos promotion promoted
@@ -85,6 +91,7 @@ class Block:
     linked: int  # characters inside links
     path: str = ""
     fused: float = 0.0
+    own: float = 0.0  # the path's ratio before smoothing
 
 
 @dataclass
@@ -275,6 +282,8 @@ def rate(blocks: list[Block]) -> None:
     for b in blocks:
         text, marks = (x / paths[b.path][2] for x in levels[b.path])
         b.fused = 0.0 if b.node.boiler else text * math.log1p(marks)
+        text, marks, n = paths[b.path]
+        b.own = 0.0 if b.node.boiler else text / n * math.log1p(marks / n)
 
 
 def _within(node: Node | None, of: set) -> bool:
@@ -292,6 +301,7 @@ def main_text(page: str | None) -> str:
     rate(blocks)
     size = sum(len(b.text) for b in blocks if b.fused > 0)
     mean = sum(b.fused * len(b.text) for b in blocks) / size if size else 0.0
+    own = sum(b.own * len(b.text) for b in blocks if b.fused > 0) / size if size else 0.0
     chosen = [b for b in blocks if b.fused > 0 and b.fused >= THRESHOLD * mean]
     if not chosen:  # no sentence anywhere: whatever no name speaks against
         chosen = [b for b in blocks if not b.node.boiler and b.linked < len(b.text)]
@@ -314,9 +324,11 @@ def main_text(page: str | None) -> str:
         articles = set()
     out = []
     for b in blocks:
-        # Inside the region, blocks go out only by name or as lists of links. A page's one title may stand before it.
+        # A page's one title may stand before the region.
         inside = _within(b.node, articles or {region}) or not articles and b.node.tag == "h1"
-        if inside and not b.node.boiler and (b.linked < len(b.text) or b.fused >= THRESHOLD * mean):
+        part = b.node.tag in PARTS and b.linked < len(b.text)
+        content = b.fused >= THRESHOLD * mean and b.own >= THRESHOLD * own or not own and b.linked < len(b.text)
+        if inside and not b.node.boiler and (content or part):
             out.append(b.text)
     return "\n".join(out)
 

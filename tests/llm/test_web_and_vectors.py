@@ -126,6 +126,13 @@ def test_comments_in_an_article_tag():
     assert html.main_text(f"<body><article class='post category-popular'><p>{ARTICLE}</p>{comments}</article>{comments}</body>") == ARTICLE
 
 
+@pytest.mark.parametrize("wrap", ["<body>{}</body>", "<body><article>{}</article></body>", "<body><div id='story'>{}</div></body>"])
+def test_low_ratios_are_dropped_inside_the_region(wrap):
+    p = f"<p>{ARTICLE}</p>"
+    page = f"<div>Buy our new shoes</div>{p}{p}<h2>Head</h2><ul><li>One</li><li>Two.</li></ul><p>Short</p><pre>code()</pre>{p}<figure><figcaption>Photo by a friend</figcaption></figure>{p}<div><span>All rights reserved 2024.</span></div>"
+    assert html.main_text(wrap.format(page)) == "\n".join([ARTICLE, ARTICLE, "Head", "One", "Two.", "Short", "code()", ARTICLE, ARTICLE])
+
+
 def test_long_footers_are_no_wrapper():
     footer = f"<footer>{'All rights are reserved, as ever. ' * 20}</footer>"
     assert html.main_text(f"<body><article><h1>A title.</h1><p>Short.</article>{footer}</body>") == "A title.\nShort."
