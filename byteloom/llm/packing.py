@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from byteloom.llm.common import checkpoint, salted_rank
 
@@ -39,6 +40,8 @@ LATIN_END = "\u0250"
 COMBINING = re.compile("[\u0300-\u036f]")
 #: Pieces of one length that one task numbers, about.
 RANK_ROWS = 500
+#: Documents that ``pack_in_order`` packs together.
+WINDOW_ROWS = 1024
 
 
 def _stem(word: bytes) -> bytes:
@@ -113,8 +116,8 @@ def encoder(tokenizer_path: str) -> WordEncoder:
     return WordEncoder(tokenizer_path)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """The token pieces of each document: id, piece, start, length, ids_crc32, and ids with ``keep_ids``."""
+def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False, at_col: str | None = None) -> DataFrame:
+    """The token pieces of each document: id, piece, start, length, ids_crc32, ids with ``keep_ids``, and the long ``at_col``."""
     limit = 4 * capacity
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,11 +125,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             rows: list[tuple] = []
             blobs: list[bytes] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist())):
+            places: list = []
+            for row, (doc, ids) in enumerate(zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist()))):
                 ids += SEPARATOR.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(ids), limit)):
                     part = ids[at : at + limit]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                    places.append(row)
                     if keep_ids:
                         blobs.append(part)
             if not rows:
@@ -136,10 +141,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             if keep_ids:
                 columns.append(pa.array([np.frombuffer(b, "<u4").astype(np.int64) for b in blobs], pa.list_(pa.int64())))
                 names.append("ids")
+            if at_col:
+                columns.append(batch.column(2).take(pa.array(places)))
+                names.append(at_col)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = f"`{id_col}` long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(cut, schema)
+    schema = f"`{id_col}` long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids + f", `{at_col}` long" * bool(at_col)
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_text"), *[at_col] * bool(at_col)).mapInArrow(cut, schema)
 
 
 @dataclass(frozen=True)
@@ -196,14 +204,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Step]:
     return steps
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """Packs all documents: a row for each piece with its sequence_id and offset.
-
-    Tokens are made once and kept in the checkpoint folder. The driver gets the histogram alone (``capacity`` rows
-    at most); the plan that goes back has a few rows for each length.
-    """
-    made = checkpoint(pieces(docs, tokenizer_path, id_col, text_col, capacity, keep_ids))
-    histogram = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}
+def _places(histogram: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
+    """For each length: from which piece on, first sequence, number of sequences and offset of each run of pieces."""
     first: dict[int, list[tuple[int, int, int, int]]] = {}
     used: dict[int, int] = dict.fromkeys(histogram, 0)
     sequence = 0
@@ -215,7 +217,31 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             offset += each * length
         sequence += step.times
     assert used == histogram, "the plan places each piece once"
-    places = {k: np.array(v, dtype=np.int64).T for k, v in first.items()}
+    return {k: np.array(v, dtype=np.int64).T for k, v in first.items()}
+
+
+def _placed(length: np.ndarray, rank: np.ndarray, places: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of pieces, from their rank among those of their length."""
+    at, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
+    for n in np.unique(length):
+        own = np.flatnonzero(length == n)
+        since, base, times, off = places[int(n)]
+        k = np.searchsorted(since, rank[own], side="right") - 1
+        nth = rank[own] - since[k]
+        at[own] = base[k] + nth % times[k]
+        offset[own] = off[k] + nth // times[k] * n
+    return at, offset
+
+
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+    """Packs all documents: a row for each piece with its sequence_id and offset.
+
+    Tokens are made once and kept in the checkpoint folder. The driver gets the histogram alone (``capacity`` rows
+    at most); the plan that goes back has a few rows for each length.
+    """
+    made = checkpoint(pieces(docs, tokenizer_path, id_col, text_col, capacity, keep_ids))
+    histogram = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}
+    places = _places(histogram, capacity)
 
     salts = F.create_map(*[F.lit(x) for k, v in histogram.items() for x in (k, -(-v // RANK_ROWS))]) if histogram else None
     spread = made.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), salts[F.col("length")] if histogram else F.lit(1)))
@@ -224,14 +250,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (batch.column(n).to_numpy() for n in ("length", "_rank"))
-            at, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
-            for n in np.unique(length):
-                own = np.flatnonzero(length == n)
-                since, base, times, off = places[int(n)]
-                k = np.searchsorted(since, rank[own], side="right") - 1
-                nth = rank[own] - since[k]
-                at[own] = base[k] + nth % times[k]
-                offset[own] = off[k] + nth // times[k] * n
+            at, offset = _placed(length, rank, places)
             keep = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(at), pa.array(offset)], [*names, "sequence_id", "offset"])
 
@@ -240,6 +259,45 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     return ranked.select(*names, "_rank").mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
+def file_order(docs: DataFrame, output: str) -> DataFrame:
+    """Adds each row's place in the files that ``docs`` reads, by file name and row; no row moves."""
+    named = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    held = {r["_file"]: r["n"] for r in named.groupBy("_file").agg((F.max("_row") + 1).alias("n")).collect()}
+    since, starts = 0, []
+    for file in sorted(held):
+        starts.append((file, since))
+        since += held[file]
+    starts = docs.sparkSession.createDataFrame(starts, "_file string, _since long")
+    return named.join(F.broadcast(starts), "_file").select(*docs.columns, (F.col("_since") + F.col("_row")).alias(output))
+
+
+def pack_in_order(docs: DataFrame, tokenizer_path: str, at_col: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """Packs ``window_rows`` documents at a time, consecutive by ``at_col``; sequences are numbered window by window.
+
+    So each stretch of sequences holds the documents of one stretch of the order, whatever their lengths. A window leaves
+    one sequence more or less unfilled. A task has one window, however large the corpus.
+    """
+    made = pieces(docs, tokenizer_path, id_col, text_col, capacity, at_col=at_col)
+    names = [c for c in made.columns if c != at_col]
+
+    def place(window: pa.Table) -> pa.Table:
+        length, at, piece, number = (window.column(n).to_numpy() for n in ("length", at_col, "piece", "_window"))
+        order = np.lexsort((piece, at, length))
+        kinds, first, counts = np.unique(length[order], return_index=True, return_counts=True)
+        rank = np.empty(len(length), np.int64)
+        rank[order] = np.arange(len(length)) - np.repeat(first, counts)
+        sequence, offset = _placed(length, rank, _places(dict(zip(kinds.tolist(), counts.tolist())), capacity))
+        return pa.Table.from_arrays([*(window.column(c) for c in names), pa.array(number), pa.array(sequence), pa.array(offset)], [*names, "_window", "_sequence", "offset"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.select(*names).schema)
+    windows = made.withColumn("_window", F.floor(F.col(at_col) / window_rows)).groupBy("_window")
+    placed = checkpoint(windows.applyInArrow(place, f"{kinds}, _window long, _sequence long, offset long"))
+    before = W.orderBy("_window").rowsBetween(W.unboundedPreceding, -1)
+    used = placed.groupBy("_window").agg((F.max("_sequence") + 1).alias("_n"))
+    bases = used.select("_window", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return placed.join(F.broadcast(bases), "_window").select(*names, (F.col("_base") + F.col("_sequence")).alias("sequence_id"), "offset")
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """The token ids of each sequence, from ``pack(..., keep_ids=True)``; a sequence holds ``capacity`` ids at most."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))

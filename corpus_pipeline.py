@@ -49,7 +49,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    """Packs in the order of the files, which is that of the mix."""
+    return packing.pack_in_order(packing.file_order(docs, "_at"), public_tokenizers.path(TOKENIZER), "_at")
 
 
 STAGES = [

@@ -67,3 +67,18 @@ def test_empty_documents(spark, docs, tmp_path):
 def test_repeated_rows_keep_one(spark, docs):
     one = docs.where("doc_id = 3")
     assert corpus_pipeline.drop_near_duplicates(spark, one.unionByName(one), "").count() == 1
+
+
+def test_packing_follows_the_mix(spark, tmp_path):
+    rng = random.Random(12)
+    names = list(corpus_pipeline.SOURCE_WEIGHTS)
+    rows = [(i, "word " * rng.randint(1, 300), "en", names[0] if i % 3 else rng.choice(names[1:]), 5) for i in range(4000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/docs")
+    corpus_pipeline.mix_sources(spark, spark.read.parquet(f"{tmp_path}/docs"), "").write.parquet(f"{tmp_path}/mixed")
+    packed = corpus_pipeline.pack(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()
+    assert len({r["doc_id"] for r in packed}) == 4000
+    check_packed(packed)
+    place = {r["doc_id"]: (r["slot"], r["place"]) for r in corpus_pipeline.mixing.mix(spark.read.parquet(f"{tmp_path}/docs"), corpus_pipeline.SOURCE_WEIGHTS).collect()}
+    window = {doc: k // corpus_pipeline.packing.WINDOW_ROWS for k, doc in enumerate(sorted(place, key=place.get))}
+    found = [window[r["doc_id"]] for r in sorted(packed, key=lambda r: r["sequence_id"])]
+    assert found == sorted(found) and len(set(found)) == 4
