@@ -38,3 +38,12 @@ def test_query(spark, duck, name):
         theirs = [d[0] for d in found.description]
         assert sorted(theirs) == columns
         assert plain(rows) == plain(tuple(r[theirs.index(c)] for c in columns) for r in found.fetchall())
+
+
+def test_wide_detect_takes_whole_texts(spark, tmp_path, monkeypatch):
+    texts = ["plain words " * 300, "é and more " * 300, "x" * 1501, "long " * 4000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    monkeypatch.setattr("byteloom.plans.queries.detect", lambda docs, **_: seen.append({r["doc_id"]: len(r["content"]) for r in docs.collect()}) or docs.selectExpr("doc_id", "named_struct('encoding', '') AS detected"))
+    QUERIES["q_wide_detect"](spark, str(tmp_path))
+    assert seen == [{i: len(t) * (2 if i < 2 else 4) for i, t in enumerate(texts)}]
