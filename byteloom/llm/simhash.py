@@ -7,12 +7,18 @@ Equal fingerprints collapse first. Distinct ones that differ in at most ``radius
 bands (pigeonhole), so they meet in that band's bucket. Large buckets are split once more by the same argument over
 the remaining bits. A task turns its buckets into vertical bit planes and compares each fingerprint with the one s places
 on, for s = 1, 2, ..., 64 pairs to a machine word: differing bits go into carry-save bitwise counters, and words whose
-pairs all exceed the radius are abandoned. A bucket yields a star for each group found in it, never its pairs.
+pairs all exceed the radius are abandoned. A bucket yields a star for each group found in it, never its pairs. Buckets
+that are still larger than CHUNK_ROWS go on as chunks of that size, and each pair of chunks is a task's of its own, so
+memory and work of a task are bounded whatever a bucket holds.
+
+Components are found by contraction: each node points to its smallest neighbour, pointers are followed to their roots,
+and roots with links between them are the nodes of the next round. Every node that has a link is merged with another one,
+so a round at least halves their number: there are at most log2(nodes) rounds, of at most log2(nodes) steps each.
 
 Nulls and edge cases: a null or blank text has fingerprint zero, which links like any other; fewer words than a
-shingle's make one shingle; a row without id gets the component of its fingerprint but links nothing itself; repeated
-rows share their component; an empty table gives no rows. Only the id and text columns are read, so further columns may
-have any name.
+shingle's make one shingle; a row without id links like any other, and the component of rows without id alone is null;
+repeated rows share their component; an empty table gives no rows. Only the id and text columns are read, so further
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -21,14 +27,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from byteloom.llm.common import checkpoint
+from byteloom.llm.common import Scratch, checkpoint, fresh, join_split
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
 #: Buckets of more members are split by bits outside their band.
 SPLIT_AT = 2048
+#: Buckets of more members than this are compared chunk by chunk.
+CHUNK_ROWS = 8192
 #: Hashes counted at once, and bucket members compared at once.
 HASHES_AT_ONCE, LANES_AT_ONCE = 1 << 16, 1 << 15
 
@@ -50,15 +58,18 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, fp) of each document."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, keys: dict[str, Column] | None = None) -> DataFrame:
+    """(id, fp) of each document, and the whole numbers ``keys`` between the two."""
+    keys = keys or {}
+    names = ["id", *keys, "fp"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py(), shingle_words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            fps = [fingerprint(t.as_py(), shingle_words) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps, pa.int64())], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    asked = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"), *[c.cast("long").alias(n) for n, c in keys.items()])
+    return asked.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -112,8 +123,8 @@ def close_pairs(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> Iter
             yield first, first + shift
 
 
-def stars(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) of each member that is linked within its bucket; a root is its group's smallest node there."""
+def stars(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """(fp, root) of each member that is linked within its bucket; a root is one member of its group there."""
     root = np.arange(len(fps))
 
     def find(i: int) -> int:
@@ -127,16 +138,14 @@ def stars(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, radius: int = RA
         for i, j in zip(left[new].tolist(), right[new].tolist()):
             a, b = find(i), find(j)
             if a != b:
-                if nodes[b] < nodes[a]:
-                    a, b = b, a
-                root[b] = a
+                root[max(a, b)] = min(a, b)
         while True:
             up = root[root]
             if np.array_equal(up, root):
                 break
             root = up
     linked = np.flatnonzero(root != np.arange(len(fps)))
-    return nodes[linked], nodes[root[linked]]
+    return fps[linked], fps[root[linked]]
 
 
 def _bits(column: str, low: int, width: int):
@@ -144,12 +153,12 @@ def _bits(column: str, low: int, width: int):
 
 
 def banded(reps: DataFrame, radius: int = RADIUS, split_at: int = SPLIT_AT) -> DataFrame:
-    """(bucket, fp, node): each fingerprint in each of its buckets. Two within ``radius`` share a bucket at least."""
+    """(bucket, fp): each distinct fingerprint in each of its buckets. Two within ``radius`` share a bucket at least."""
     bands = radius + 1
     cuts = [64 * b // bands for b in range(bands + 1)]
-    keyed = reps.select("fp", "node", F.posexplode(F.array(*[_bits("fp", lo, hi - lo) for lo, hi in zip(cuts, cuts[1:])])).alias("band", "value"))
+    keyed = reps.select("fp", F.posexplode(F.array(*[_bits("fp", lo, hi - lo) for lo, hi in zip(cuts, cuts[1:])])).alias("band", "value"))
     if max(hi - lo for lo, hi in zip(cuts, cuts[1:])) > 16:  # few bands: the number of buckets has no useful bound
-        return keyed.select(F.struct("band", "value", F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("rest")).alias("bucket"), "fp", "node")
+        return keyed.select(F.struct("band", "value", F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("rest")).alias("bucket"), "fp")
     # At most bands x 2**16 buckets can be large, and so many rows are broadcast at most.
     large = keyed.groupBy("band", "value").count().where(F.col("count") > split_at).select("band", "value", F.lit(True).alias("large"))
     marked = keyed.join(F.broadcast(large), ["band", "value"], "left")
@@ -162,57 +171,132 @@ def banded(reps: DataFrame, radius: int = RADIUS, split_at: int = SPLIT_AT) -> D
     subs = [width * s // bands for s in range(bands + 1)]
     parts = F.array(*[F.struct(F.lit(s).alias("sub"), F.shiftrightunsigned(F.col("_rest"), lo).bitwiseAND((1 << (hi - lo)) - 1).alias("rest")) for s, (lo, hi) in enumerate(zip(subs, subs[1:]))])
     whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("rest")))
-    out = marked.withColumn("_rest", rest_bits).select("fp", "node", "band", "value", F.explode(F.when(F.col("large"), parts).otherwise(whole)).alias("part"))
-    return out.select(F.struct("band", "value", F.col("part.sub").alias("sub"), F.col("part.rest").alias("rest")).alias("bucket"), "fp", "node")
+    out = marked.withColumn("_rest", rest_bits).select("fp", "band", "value", F.explode(F.when(F.col("large"), parts).otherwise(whole)).alias("part"))
+    return out.select(F.struct("band", "value", F.col("part.sub").alias("sub"), F.col("part.rest").alias("rest")).alias("bucket"), "fp")
 
 
-def links(reps: DataFrame, radius: int = RADIUS, split_at: int = SPLIT_AT) -> DataFrame:
-    """(node, root) edges whose components are those of all pairs within ``radius``."""
+def links(reps: DataFrame, radius: int = RADIUS, split_at: int = SPLIT_AT, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(fp, root) edges whose components are those of all pairs within ``radius``. ``reps`` has each fingerprint once."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compare(k, f, v):
-            a, b = stars(k, f.astype("<i8").view("<u8"), v, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["node", "root"])
+    def compared(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        a, b = stars(keys, fps.astype("<i8").view("<u8"), radius)
+        return pa.RecordBatch.from_arrays([pa.array(a.view("<i8")), pa.array(b.view("<i8")), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary())], names)
 
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            rows = np.array([batch.column(c).to_numpy() for c in range(3)])
-            held.append(rows)
-            size += rows.shape[1]
-            if size >= LANES_AT_ONCE:
-                rows = np.concatenate(held, axis=1)
-                whole = np.flatnonzero(rows[0] != rows[0, -1])  # the last bucket may go on in the next batch
-                cut = whole[-1] + 1 if len(whole) else 0
-                if cut:
-                    yield compare(*rows[:, :cut])
-                held, size = [rows[:, cut:]], rows.shape[1] - cut
-        if size:
-            yield compare(*np.concatenate(held, axis=1))
+    def chunk(key: int, number: int, fps: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(1, pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array([key]), pa.array([number]), pa.array([fps.astype("<i8").tobytes()])], names)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by bucket. Edges of the buckets that are small, and the chunks of those that aren't."""
+        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        giant, number = None, 0  # the bucket of which chunks have gone, and how many
+        for batch in (*batches, None):
+            if batch is not None:
+                keys, fps = (np.concatenate([held, batch.column(c).to_numpy()]) for c, held in enumerate((keys, fps)))
+                if len(keys) < LANES_AT_ONCE:
+                    continue
+            starts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys)) if len(keys) else np.zeros(1, np.int64)
+            small = np.ones(len(keys), bool)
+            for k in np.flatnonzero((np.diff(starts) > chunk_rows) | (keys[starts[:-1]] == giant if giant is not None else False)):
+                at, end = starts[k], starts[k + 1]
+                if keys[at] != giant:
+                    giant, number = keys[at], 0
+                open_end = batch is not None and end == len(keys)  # more of it may come
+                while end - at > chunk_rows or at < end and not open_end:
+                    yield chunk(int(giant), number, fps[at : min(end, at + chunk_rows)])
+                    small[at : at + chunk_rows] = False
+                    at, number = min(end, at + chunk_rows), number + 1
+                if not open_end:
+                    small[starts[k] : end] = False
+            kept = small.copy()
+            if batch is not None and len(keys):  # the last bucket may go on in the next batch
+                small[starts[-2] :] = False
+                kept[: starts[-2]] = False
+            else:
+                kept[:] = False
+            yield compared(keys[small], fps[small])
+            keys, fps = keys[kept], fps[kept]
+
+    def pair(chunks: pa.Table) -> pa.Table:
+        fps = np.frombuffer(b"".join(chunks["blob"].to_pylist()), "<u8")
+        a, b = stars(np.zeros(len(fps), np.int64), fps, radius)
+        return pa.table({"fp": a.view("<i8"), "root": b.view("<i8")})
+
+    names = ["fp", "root", "bucket", "number", "blob"]
     # Buckets are told apart by a 64-bit hash: if two ever share one, they are merely compared together.
-    keyed = banded(reps, radius, split_at).select(F.xxhash64("bucket").alias("key"), "fp", "node")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "node long, root long")
+    keyed = banded(reps, radius, split_at).select(F.xxhash64("bucket").alias("key"), "fp")
+    found = checkpoint(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "fp long, root long, bucket long, number long, blob binary"))
+    # One row for each chunk_rows members of a bucket; each chunk meets each other one of its bucket once.
+    chunks = found.where("blob is not null").select("bucket", "number", "blob")
+    known = chunks.join(chunks.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket").where("n > 1")
+    paired = known.select("bucket", "number", "blob", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other")).where("number != other")
+    met = paired.select("bucket", F.least("number", "other").alias("first"), F.greatest("number", "other").alias("second"), "blob")
+    between = met.groupBy("bucket", "first", "second").applyInArrow(pair, "fp long, root long")
+    return found.where("fp is not null").select("fp", "root").unionByName(between)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each node's component. Edges are (node, root); each round halves paths at least."""
-    both = checkpoint(edges.select("node", F.col("root").alias("other")).unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("other"))).distinct())
-    labels = checkpoint(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")))
+    """(node, root): one node of each component, the same for all of its nodes. Edges are pairs of nodes in any order."""
+    a, b = edges.columns
+    node, up, scratch = F.col("node"), F.col("up"), Scratch(edges.sparkSession)
+    both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node != other")
+    both = scratch.write(both.unionByName(both.select(F.col("other").alias("node"), node.alias("other"))).distinct())
+    roots = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        labels = checkpoint(lower.join(jump, "label").select("node", "old", F.least("label", "jump").alias("label")))
-        if labels.where("old != label").isEmpty():
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
+        # Everyone's smallest neighbour. Of two that point to each other the smaller one is a root; there is no other circle.
+        points = scratch.write(both.groupBy("node").agg(F.min("other").alias("up")))
+        back = join_split(points, points.select(node.alias("up"), up.alias("back")), "up", node)
+        points = scratch.write(back.select("node", F.when((F.col("back") == node) & (node < up), node).otherwise(up).alias("up")))
+        while True:
+            over = join_split(points, points.select(node.alias("up"), up.alias("over")), "up", node)
+            over = scratch.write(over.select("node", F.col("over").alias("up"), (up != F.col("over")).alias("moved")))
+            points = over.select("node", "up")
+            if over.where("moved").isEmpty():
+                break
+        points = points.select("node", up.alias("root"))
+        if roots is None:
+            roots = scratch.write(points)
+        else:
+            now = join_split(roots, points.select(node.alias("root"), F.col("root").alias("now")), "root", node, "left")
+            roots = scratch.write(now.select("node", F.coalesce("now", "root").alias("root")))
+        near = scratch.write(join_split(both, points, "node", F.col("other")).select(F.col("root").alias("near"), "other"))
+        far = join_split(near, points.select(node.alias("other"), F.col("root").alias("far")), "other", F.col("near"))
+        both = scratch.write(far.where("near != far").select(F.col("near").alias("node"), F.col("far").alias("other")).distinct())
+        scratch.keep(roots, both)
+        if both.isEmpty():
+            return roots
+
+
+def grouped(made: DataFrame, radius: int = RADIUS, split_at: int = SPLIT_AT) -> DataFrame:
+    """(fp, root): each distinct fingerprint of ``made`` with one fingerprint of its component."""
+    reps = made.select("fp").distinct()
+    roots = components(links(reps, radius, split_at))
+    return reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, split_at: int = SPLIT_AT) -> DataFrame:
     """(id, fp, component_id) of each document; component_id is the smallest id that links reach, its own included."""
     made = checkpoint(fingerprints(docs, id_col, text_col, shingle_words))
-    reps = made.groupBy("fp").agg(F.min("id").alias("node"))
-    labels = components(links(reps.where("node is not null"), radius, split_at))
-    of_fp = reps.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"))
-    return made.join(of_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    groups = checkpoint(grouped(made, radius, split_at).join(made.groupBy("fp").agg(F.min("id").alias("least")), "fp"))
+    least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_fp = join_split(groups.select("fp", "root"), least, "root", F.col("fp")).select("fp", "component_id")
+    return join_split(made, of_fp, "fp", F.col("id")).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, split_at: int = SPLIT_AT) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row of smallest id (those without id last).
+
+    Rows are told apart by two hashes over all their columns, whatever their ids, so one of an id that is given twice may
+    go and the other stay; of rows that are equal throughout one stays. Whole rows are shuffled once.
+    """
+    low, high = fresh(docs, "_low", "_high")
+    # Maps have no hash of their own.
+    columns = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema]
+    hashes = {low: F.xxhash64(*columns), high: F.xxhash64(F.lit(1), *columns)}
+    made = checkpoint(fingerprints(docs, id_col, text_col, shingle_words, hashes))
+    first = F.min(F.struct(F.col("id").isNull(), "id", low, high)).alias("first")
+    best = made.groupBy("fp").agg(first).join(grouped(made, radius, split_at), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = best.select(f"first.{low}", f"first.{high}")
+    keyed = docs.select("*", *[c.alias(n) for n, c in hashes.items()])
+    # The join deals rows by their hashes, so equal ones already lie together.
+    return keyed.join(kept, [low, high], "left_semi").dropDuplicates([low, high]).select(*docs.columns)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from byteloom.llm import langid, mixing, ngrams, packing, pii, quality, queries, simhash
+from byteloom.llm import common, langid, mixing, ngrams, packing, pii, quality, queries, simhash
 
 TOKENIZER = public_tokenizers.path(queries.TOKENIZER)
 ODD = [None, "", " \n\t", "x", "é" * 3, "word " * 40_000, "a" * 30_000, "%%% ###", "same text here now", "same text here now", "𝒳 中文 ñ"]
@@ -348,9 +348,19 @@ def test_simhash_of_odd_documents(spark, odd, tmp_path):
     assert len(set(want.values())) > 5 and max(Counter(want.values()).values()) > 5
 
 
-@pytest.mark.parametrize("split_at", [1, 10_000])
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+def labels(found):
+    rows = [tuple(r) for r in found.collect()]
+    assert len(dict(rows)) == len(rows)
+    return dict(rows)
+
+
+@pytest.mark.parametrize(("split_at", "chunk_rows"), [(1, 8192), (10_000, 8192), (10_000, 3)])
 @pytest.mark.parametrize("radius", [1, 3, 5])
-def test_links_find_all_pairs(spark, split_at, radius):
+def test_links_find_all_pairs(spark, split_at, chunk_rows, radius):
     rng = random.Random(radius)
     centre = [rng.getrandbits(64) for _ in range(12)]
     fps = {0: 0, 1: (1 << 64) - 1}
@@ -360,10 +370,13 @@ def test_links_find_all_pairs(spark, split_at, radius):
             v ^= 1 << rng.randrange(64)
         fps[i] = v
     fps = {i: v for v, i in {v: i for i, v in fps.items()}.items()}
-    signed = [(i, v - (1 << 64) if v >> 63 else v) for i, v in fps.items()]
-    reps = spark.createDataFrame(signed, "node long, fp long")
-    labels = {r["node"]: r["label"] for r in simhash.components(simhash.links(reps, radius, split_at)).collect()}
-    assert {i: labels.get(i, i) for i in fps} == plain_components(fps, radius)
+    reps = spark.createDataFrame([(signed(v),) for v in fps.values()], "fp long")
+    got = labels(simhash.components(simhash.links(reps, radius, split_at, chunk_rows)))
+    own = {signed(v): i for i, v in fps.items()}
+    least = {}
+    for v, root in got.items():
+        least[root] = min(least.get(root, own[v]), own[v])
+    assert {i: least[got[v]] if v in got else i for v, i in own.items()} == plain_components(fps, radius)
 
 
 def test_bit_planes_compare_every_shift():
@@ -376,10 +389,38 @@ def test_bit_planes_compare_every_shift():
         assert got == want
 
 
-def test_components_of_a_long_chain(spark):
-    edges = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(500, 400)], "node long, root long")
-    got = {r["node"]: r["label"] for r in simhash.components(edges).collect()}
-    assert got == {i: 0 for i in range(201)} | {500: 400, 400: 400}
+@pytest.mark.parametrize(("name", "path"), [("up", lambda n: range(n)), ("down", lambda n: range(n, 0, -1)), ("far", lambda n: [*range(1, n), 0]), ("mixed", lambda n: random.Random(4).sample(range(n), n))])
+def test_components_of_paths_take_few_rounds(spark, monkeypatch, name, path):
+    nodes, rounds = list(path(257)), []
+    plain = simhash.Scratch.write
+    monkeypatch.setattr(simhash.Scratch, "write", lambda self, df: rounds.append(1) or plain(self, df))
+    edges = spark.createDataFrame([*zip(nodes, nodes[1:]), (1000, 900), (7000, 7000)], "node long, root long")
+    got = labels(simhash.components(edges))
+    assert set(got) == {*nodes, 900, 1000} and len({got[n] for n in nodes}) == 1 and got[900] == got[1000] != got[nodes[0]]
+    assert len(rounds) <= 60
+
+
+def test_components_of_a_star_take_one_round(spark, monkeypatch):
+    monkeypatch.setattr("byteloom.llm.common.SPLIT_ROWS", 16)
+    got = labels(simhash.components(spark.createDataFrame([(i, 500) for i in range(300)], "node long, root long")))
+    assert set(got) == {*range(300), 500} and len(set(got.values())) == 1
+
+
+def test_joins_split_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr("byteloom.llm.common.SPLIT_ROWS", 10)
+    many = spark.createDataFrame([(i, 0 if i % 3 == 0 else i, "x") for i in range(300)], "_salt long, k long, _parts string")
+    one = spark.range(200).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = sorted(tuple(r) for r in common.join_split(many, one, "k", F.col("_salt"), "left").select("_salt", "k", "v", "_parts").collect())
+    assert got == [(i, k, 2 * k if k < 200 else None, "x") for i in range(300) for k in [0 if i % 3 == 0 else i]]
+
+
+def test_one_of_each_group(spark):
+    text, other = "a b c d e f g h " * 20, "other words stand here " * 20
+    rows = [(5, text, "p"), (3, text, "q"), (3, other, "q"), (None, text, "r"), (3, text, "q"), (None, "alone " * 30, "r"), (None, "alone " * 30, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _low string").withColumn("kinds", F.create_map(F.lit("a"), F.lit(1)))
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"], r["_low"]) for r in got.collect()) == [(0, "alone " * 30, "r"), (3, text, "q"), (3, other, "q")]
 
 
 def test_simhash_of_nothing(none):
