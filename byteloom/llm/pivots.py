@@ -9,7 +9,8 @@ of the cell |q - x| >= |d - r|, so
 First each query searches the blocks of its own cell, which gives it a k-th best score that is reached for certain. Then
 it goes to each other cell whose bound is not below that score. Within a block, annuli are expanded outwards from
 r = d; the search stops when the bound of all that is left falls below the k-th best score. No candidate is left out
-that could be returned, so results are exact; scores are sums of integer products.
+that could be returned, so results are exact; scores are sums of integer products. They are summed in double precision
+where no sum can reach 2**53, else in 64-bit integers; components so large that a score might not fit those are an error.
 
 Pivots are drawn by hash from the vectors (PIVOTS at most), so they, and the statistics of their cells, are bounded.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from byteloom.llm.common import checkpoint
-from byteloom.llm.vectors import BLOCK_ROWS, classes, merge, pack_vectors, prepared, query_classes
+from byteloom.llm.vectors import BLOCK_ROWS, QUERY_ROWS, classes, merge, pack_vectors, prepared, query_classes
 
 PIVOTS, SCALE = 48, 64
 QUERY_EVERY, K = 20, 20
@@ -61,10 +62,15 @@ def bound(q2: np.ndarray, x2: np.ndarray, d: np.ndarray, r: np.ndarray) -> np.nd
 def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = QUERY_EVERY, k: int = K, pivots: int = PIVOTS, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score) for every row whose id is divisible by ``every``; components become floor(scale * x)."""
     spark = vectors.sparkSession
-    rows, dim = prepared(vectors, id_col, vector_col, nonzero=False)
-    packed = checkpoint(pack_vectors(rows, lambda x: quantized(x, scale), "<f8"))
+    rows, dim, largest = prepared(vectors, id_col, vector_col, nonzero=False)
+    most = dim * (scale * largest + 1) ** 2
+    if most >= 2**63:
+        raise ValueError(f"components of up to {largest} may have scores beyond 64 bits")
+    wide = most >= 2**53
+    packed = checkpoint(pack_vectors(rows, dim, lambda x: quantized(x, scale), "<f8"))
     index = checkpoint(classes(packed, k))
     queries, asked = query_classes(packed, every)
+    parts = max(1, -(-queries.count() // QUERY_ROWS))
     drawn = index.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(pivots).select("v").collect()
     centres = np.frombuffer(b"".join(bytes(r["v"]) for r in drawn), "<f8").reshape(-1, dim)
     shared = spark.sparkContext.broadcast(centres)
@@ -73,13 +79,13 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _decode(batch.column(1), dim)
+            x = _decode(batch.column(2), dim)
             far = distances(x, shared.value)
             cell = far.argmin(axis=1)
             added = [pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(x)), cell]), pa.array((x * x).sum(axis=1))]
-            yield pa.RecordBatch.from_arrays([*added, *batch.columns], ["cell", "r", "x2", "node", "v"])
+            yield pa.RecordBatch.from_arrays([*added, *batch.columns], ["cell", "r", "x2", "node", "first", "v"])
 
-    keyed = index.select("node", "v").mapInArrow(key, "cell int, r double, x2 double, node long, v binary")
+    keyed = index.select("node", "first", "v").mapInArrow(key, "cell int, r double, x2 double, node long, first long, v binary")
     # One row for each pivot.
     cells = keyed.groupBy("cell").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.max("x2").alias("x2"), F.count(F.lit(1)).alias("rows")).toArrow().to_pandas()
     low, high, x2 = (np.full(max(1, len(centres)), fill) for fill in (np.inf, -np.inf, -np.inf))
@@ -88,18 +94,18 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     stats = spark.sparkContext.broadcast((low, high, x2, blocks))
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, _, parts = stats.value
+        _, _, _, dealt = stats.value
         for batch in batches:
             # Node ids are mixed, so that blocks of a cell are even whatever the ids are.
             mixed = batch.column(3).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-            of = np.array([parts[c] for c in batch.column(0).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((mixed % of).astype(np.int32)), *batch.columns[1:]], ["cell", "block", "r", "x2", "node", "v"])
+            of = np.array([dealt[c] for c in batch.column(0).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((mixed % of).astype(np.int32)), *batch.columns[1:]], ["cell", "block", "r", "x2", "node", "first", "v"])
 
     def visits(own: bool):
         """The blocks to visit: those of the query's own cell, or of the other cells that may hold something."""
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            low, high, x2, parts = stats.value
+            low, high, x2, dealt = stats.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -114,7 +120,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                 mine = np.zeros(may.shape, bool)
                 mine[np.arange(len(q)), nearest] = True
                 row, cell = np.nonzero(mine & np.isfinite(x2) if own else may & ~mine)
-                times = np.array([parts[int(c)] for c in cell], dtype=np.int64)
+                times = np.array([dealt[int(c)] for c in cell], dtype=np.int64)
                 row, cell = np.repeat(row, times), np.repeat(cell, times)
                 block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
                 take = pa.array(row)
@@ -122,16 +128,17 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
         return run
 
-    held = keyed.mapInArrow(spread, "cell int, block int, r double, x2 double, node long, v binary")
+    keys = ["cell", "block", "part"]
+    held = keyed.mapInArrow(spread, "cell int, block int, r double, x2 double, node long, first long, v binary").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     schema = "cell int, block int, d double, reached double, node long, v binary"
 
-    def rank(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [_expand(left, right, dim, k)] if left.num_rows and right.num_rows else []
-        columns = [c for part in out for c in part] or [np.zeros(0, np.int64)] * 3
-        return pa.table(dict(zip(("node", "found", "score"), columns)))
+    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
+        columns = _expand(left, right, dim, k, wide) if left.num_rows and right.num_rows else [np.zeros(0, np.int64)] * 4
+        return pa.table(dict(zip(("node", "found", "first", "score"), columns)))
 
     def scan(asking: DataFrame) -> DataFrame:
-        return held.groupBy("cell", "block").cogroup(asking.groupBy("cell", "block")).applyInArrow(rank, "node long, found long, score long")
+        asking = asking.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int"))
+        return held.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(rank, "node long, found long, first long, score long")
 
     nothing = F.lit(float("-inf"))
     first = checkpoint(scan(queries.select("node", "v", nothing.alias("reached")).mapInArrow(visits(True), schema)))
@@ -143,14 +150,14 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return merge(first.unionByName(second), asked, index, k, "long")
 
 
-def _expand(left: pa.Table, right: pa.Table, dim: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _expand(left: pa.Table, right: pa.Table, dim: int, k: int, wide: bool) -> tuple[np.ndarray, ...]:
     """Each query's best of one block: annuli outwards from r = d until nothing left can reach the k + 1 best.
 
     All queries take a step outwards at once; those that take the same annulus share one product of matrices.
     """
     r = left["r"].to_numpy()
     order = np.argsort(r, kind="stable")
-    r, x2, ids, x = r[order], left["x2"].to_numpy()[order], left["node"].to_numpy()[order], _decode(left["v"], dim)[order]
+    r, x2, ids, firsts, x = r[order], left["x2"].to_numpy()[order], left["node"].to_numpy()[order], left["first"].to_numpy()[order], _decode(left["v"], dim)[order]
     starts = np.arange(0, len(r), ANNULUS_ROWS)
     ends = np.append(starts[1:], len(r))
     inner, outer, longest = r[starts], r[ends - 1], np.maximum.reduceat(x2, starts)
@@ -159,7 +166,8 @@ def _expand(left: pa.Table, right: pa.Table, dim: int, k: int) -> tuple[np.ndarr
     bounds = bound(q2[:, None], longest[None, :], d[:, None], np.clip(d[:, None], inner[None, :], outer[None, :]))
     turn = np.argsort(-bounds, axis=1, kind="stable")
     bounds = np.take_along_axis(bounds, turn, axis=1)
-    hits = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query, id, score
+    whole = (q.astype(np.int64), x.astype(np.int64)) if wide else (q, x)
+    hits = [np.zeros(0, np.int64)] * 3  # query, place in the block, score
     running = np.arange(len(who))
     for step in range(len(starts)):
         running = running[bounds[running, step] >= least[running]]
@@ -170,15 +178,15 @@ def _expand(left: pa.Table, right: pa.Table, dim: int, k: int) -> tuple[np.ndarr
             rows = running[turn[running, step] == annulus]
             for at in range(0, len(rows), QUERIES_AT_ONCE):
                 some, own = rows[at : at + QUERIES_AT_ONCE], slice(starts[annulus], ends[annulus])
-                product = q[some] @ x[own].T  # sums of whole numbers below 2**53, so exact
+                product = whole[0][some] @ whole[1][own].T  # sums of whole numbers, exact either way
                 i, j = np.nonzero(product >= least[some, None])
-                found.append([some[i], ids[own][j], product[i, j]])
+                found.append([some[i], starts[annulus] + j, product[i, j].astype(np.int64)])
         asked, near, score = (np.concatenate(c) for c in zip(*found))
-        order = np.lexsort((near, -score, asked))
+        order = np.lexsort((ids[near], firsts[near], -score, asked))
         asked, near, score = asked[order], near[order], score[order]
         first = np.flatnonzero(np.append(True, asked[1:] != asked[:-1])) if len(asked) else np.zeros(0, np.int64)
         place = np.arange(len(asked)) - np.repeat(first, np.diff(np.append(first, len(asked))))
         full = place == k
         least[asked[full]] = np.maximum(least[asked[full]], score[full])
         hits = [c[place <= k] for c in (asked, near, score)]
-    return who[hits[0]], hits[1], hits[2].astype(np.int64)
+    return who[hits[0]], ids[hits[1]], firsts[hits[1]], hits[2]

@@ -161,11 +161,12 @@ def table(spark, rows):
 
 
 def plain_search(rows, score, k=20, every=20):
+    """Every row but the query's own is a candidate; ``zip`` stops at the shorter vector, as zeros after it would."""
     out = {}
-    for i, q in rows:
+    for at, (i, q) in enumerate(rows):
         if i % every == 0:
-            ranked = sorted(((-score(q, v), j) for j, v in rows if j != i))[:k]
-            out[i] = [(j, -s) for s, j in ranked]
+            ranked = sorted((-score(q, v), j) for k, (j, v) in enumerate(rows) if k != at)[:k]
+            out.setdefault(i, []).extend((j, -s) for s, j in ranked)
     return out
 
 
@@ -188,13 +189,14 @@ def sample_vectors(n, dim, seed, copies=True):
     return x
 
 
-ODD_VECTORS = [(10_000, None), (10_020, []), (10_040, [1.0, None] + [0.0] * 6), (10_060, [float("nan")] + [0.0] * 7), (10_080, [float("inf")] + [0.0] * 7), (10_100, [1.0] * 3), (None, [1.0] * 8)]
+ODD_VECTORS = [(10_000, None), (10_020, []), (10_040, [1.0, None] + [0.0] * 6), (10_060, [float("nan")] + [0.0] * 7), (10_080, [float("inf")] + [0.0] * 7), (None, [1.0] * 8)]
+SHORT = (10_100, [1.0] * 3)
 
 
 @pytest.mark.parametrize("n", [1, 15, 700])
 def test_exact_search_is_exact(spark, n):
     x = sample_vectors(n, 8, n)
-    rows = [(i, list(map(float, v))) for i, v in enumerate(x)] + ([(10_120, [0.0] * 8)] if n > 1 else [])
+    rows = [(i, list(map(float, v))) for i, v in enumerate(x)] + ([(10_120, [0.0] * 8), SHORT] if n > 1 else [])
     whole = lambda v: [int(np.floor(64 * c)) for c in v]
     want = plain_search([(i, whole(v)) for i, v in rows], lambda a, b: sum(p * q for p, q in zip(a, b)))
     got = found(pivots.search(table(spark, rows + ODD_VECTORS), pivots=16))
@@ -209,15 +211,16 @@ def test_neighbours_reach_their_recall(spark, scale):
         x *= np.random.default_rng(5).uniform(0.5, 2, (900, 1))
     rows = [(i, list(map(float, v))) for i, v in enumerate(x)]
     odd = [(i, v and v * 2 if v != [] else v) for i, v in ODD_VECTORS] + [(10_120, [0.0] * 16)]
+    rows += [(901, [0.1, 0.2, 0.3])]
     got = found(ann.search(table(spark, rows + odd)))
-    want = plain_search(rows, lambda a, b: float(np.dot(a, b)))
+    want = plain_search(rows, lambda a, b: sum(p * q for p, q in zip(a, b)))
     assert set(got) == set(want) and all(len(h) == 20 for h in got.values())
     hit = sum(len({j for j, _ in got[q]} & {j for j, _ in want[q]}) for q in want) / (20 * len(want))
     assert hit >= 0.9, hit
     for q, hits in got.items():
         assert hits == sorted(hits, key=lambda h: (-h[1], h[0])) and q not in {j for j, _ in hits}
         for j, s in hits:
-            assert s == pytest.approx(float(np.dot(rows[q][1], rows[j][1])), abs=1e-12)
+            assert s == pytest.approx(sum(a * b for a, b in zip(rows[q][1], rows[min(j, 900)][1])), abs=1e-12)
     assert scale or [j for j, _ in got[0]] == list(range(450, 470))
 
 
@@ -230,9 +233,43 @@ def test_searches_that_find_too_little_look_everywhere(spark):
 def test_searches_of_nothing_and_of_repeated_rows(spark):
     assert ann.search(table(spark, [])).collect() == [] and pivots.search(table(spark, [])).collect() == []
     assert ann.search(table(spark, [(1, [1.0, 2.0])])).collect() == []
-    twice = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.5, 0.5])]
-    assert found(ann.search(table(spark, twice))) == {20: [(1, 0.5), (2, 0.5)]}
-    assert found(pivots.search(table(spark, twice))) == {20: [(1, 2048), (2, 2048)]}
+
+
+def rows_of(df):
+    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in df.collect())
+
+
+def test_every_row_is_a_candidate(spark):
+    """Vectors that share an id, rows that are given twice, and vectors of other lengths."""
+    given = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (1, [0.25, 0.0]), (2, [0.5, 0.5]), (3, [0.75, 0.5, 9.0])]
+    for search, of in ((ann.search, lambda c: c), (pivots.search, lambda c: int(64 * c))):
+        want = []
+        for at, (i, q) in enumerate(given):
+            if i % 20 == 0:
+                ranked = sorted((-sum(of(a) * of(b) for a, b in zip(q, v)), j) for k, (j, v) in enumerate(given) if k != at)
+                want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(ranked)]
+        assert rows_of(search(table(spark, given))) == sorted(want)
+
+
+def test_blocks_of_queries_and_vectors(spark, monkeypatch):
+    monkeypatch.setattr("byteloom.llm.common.SPLIT_ROWS", 5)
+    for module in (ann, pivots):
+        monkeypatch.setattr(module, "QUERY_ROWS", 4)
+        monkeypatch.setattr(module, "BLOCK_ROWS", 16)
+    rows = [(20 * i, list(map(float, v))) for i, v in enumerate(sample_vectors(120, 8, 9))]
+    assert found(pivots.search(table(spark, rows), pivots=8)) == plain_search([(i, [int(np.floor(64 * c)) for c in v]) for i, v in rows], lambda a, b: sum(p * q for p, q in zip(a, b)))
+    got = found(ann.search(table(spark, rows), probes=64))
+    assert {q: [j for j, _ in h] for q, h in got.items()} == {q: [j for j, _ in h] for q, h in plain_search(rows, lambda a, b: float(np.einsum("i,i->", np.array(a), np.array(b)))).items()}
+
+
+def test_exact_search_of_large_components(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.uniform(-1e6, 1e6) for _ in range(4)]) for i in range(60)]
+    rows += [(100 + i, [1e6 + i / 64, 1e6, 1e6, 1e6]) for i in range(5)]
+    want = plain_search([(i, [int(np.floor(64 * c)) for c in v]) for i, v in rows], lambda a, b: sum(p * q for p, q in zip(a, b)))
+    assert found(pivots.search(table(spark, rows), pivots=8)) == want
+    with pytest.raises(ValueError, match="64 bits"):
+        pivots.search(table(spark, [(20, [1e30]), (1, [1.0])]))
 
 
 def test_hadamard_keeps_lengths_and_angles():
