@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -24,12 +25,12 @@ def plain_judgement(url):
         host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
     fits = [r for r in queries.URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
     best = max(fits, key=lambda r: len(r.name), default=None)
-    return host, path, best and best.name, best.action if best else "block" if any(w in host for w in queries.URL_WORDS) else "allow"
+    return host, path, best and best.name, best.action if best else "block" if set(re.split("[.-]", host)) & set(queries.URL_WORDS) else "allow"
 
 
 def test_url_filter(spark, tmp_path):
     rng = random.Random(1)
-    parts = ["http://", "https://", "www.", "example", ".com", ".net", ".org", "/en/", "/es/", "/fr/", "casino", "?q=/en/", "#x", "/", "COM", "É", ".", "com", "://", "é/", "a" * 300]
+    parts = ["http://", "https://", "www.", "example", ".com", ".net", ".org", "/en/", "/es/", "/fr/", "casino", "casino", "-", "poker", "xxxl", "?q=/en/", "#x", "/", "COM", "É", ".", "com", "://", "é/", "a" * 300]
     urls = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 8))) for _ in range(3000)] + [None, "", "x" * 100_000, "http://com/", "http://com", "http://evil.org/x.com/", "http://www.example.com/en/1", "http://a.example.com/en/", "http://EXAMPLE.com/EN/", "http://notexample.com/en/"]
     df = spark.createDataFrame([(i, u, None, "t", "r", "h") for i, u in enumerate(urls)], PAGES)
     df.write.parquet(f"{tmp_path}/pages.parquet")
@@ -133,6 +134,64 @@ def test_low_ratios_are_dropped_inside_the_region(wrap):
     assert html.main_text(wrap.format(page)) == "\n".join([ARTICLE, ARTICLE, "Head", "One", "Two.", "Short", "code()", ARTICLE, ARTICLE])
 
 
+LONG = f"<p>{ARTICLE * 3}</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "n"),
+    [
+        (f'<article>{LONG * 3}<div class="popular-science">{LONG * 2}</div><div id="reader-tips">{LONG}</div></article>', 6),
+        (f'<article>{LONG * 3}<div class="social-science">{LONG * 2}</div></article>', 5),
+        (f'<div class="reader-content">{LONG * 4}</div>', 4),
+        (f'<div class="content-sidebar-wrap"><main>{LONG * 3}</main><div class="sidebar"><p>Side, text.</p></div></div><div>All rights reserved, 2024.</div>', 3),
+        (f'<article>{LONG * 3}<section class="comments">{LONG}</section></article>', 3),
+    ],
+)
+def test_names_lower_paths_and_dont_erase_them(page, n):
+    assert html.main_text(f"<body>{BOILER['menu']}{page}{BOILER['footer']}</body>") == "\n".join([ARTICLE * 3] * n)
+
+
+def test_ratios_are_those_of_paths():
+    """The ratios of all paths, and what they choose, against a plain version that writes paths out."""
+    rng, checked = random.Random(12), 0
+    for _ in range(200):
+        parts = []
+        for _ in range(rng.randint(1, 12)):
+            tag, name = rng.choice(["p", "div", "section", "h2"]), rng.choice(["", "", " class='a'", " class='nav'", " id='popular-x'"])
+            text = "word, and more. " * rng.choice([0, 1, 1, 2, 8]) + rng.choice(["", "<a href='x'>a link</a>"])
+            parts.append(f"<{tag}{name}>{text}</{tag}>")
+        page = "<div class='x'>" + "".join(parts[::2]) + "</div>" + "".join(parts[1::2])
+        nodes, blocks = html.parse(page)
+        html.rate(blocks)
+
+        def path(n):
+            return path(n.parent) + (n.path,) if n.parent else ()
+
+        plain = {}
+        for b in blocks:
+            plain.setdefault(path(b.node), []).append(b)
+        mean = lambda p, f: sum(map(f, plain[p])) / len(plain[p])
+        size, marks = (lambda b: len(b.text) - b.linked), (lambda b: sum(c in ".,;:!?" for c in b.text))
+        around = []
+        for k in range(len(blocks)):
+            near = [(np.exp(-((k - j) ** 2) / 2), path(b.node)) for j, b in enumerate(blocks) if abs(k - j) <= 2]
+            around.append([sum(w * mean(p, f) for w, p in near) / sum(w for w, _ in near) for f in (size, marks)])
+        for k, b in enumerate(blocks):
+            own = [around[j] for j, o in enumerate(blocks) if path(o.node) == path(b.node)]
+            text, dots = (sum(x) / len(own) for x in zip(*own))
+            assert b.fused == pytest.approx(b.node.weight * text * np.log1p(dots))
+            assert b.own == pytest.approx(b.node.weight * mean(path(b.node), size) * np.log1p(mean(path(b.node), marks)))
+            checked += 1
+    assert checked > 500
+
+
+def test_deep_and_wide_pages_take_linear_time():
+    began = time.process_time()
+    for page in ("<div>a, b." * 20_000, "<div>" * 20_000 + "<li>a, b." * 20_000, "<div class=sidebar>" * 20_000 + "<td>a, b." * 20_000, "<main>" * 20_000 + "a, b."):
+        assert html.main_text(page)
+    assert time.process_time() - began < 30
+
+
 def test_long_footers_are_no_wrapper():
     footer = f"<footer>{'All rights are reserved, as ever. ' * 20}</footer>"
     assert html.main_text(f"<body><article><h1>A title.</h1><p>Short.</article>{footer}</body>") == "A title.\nShort."
