@@ -74,6 +74,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def hashable(df: DataFrame) -> list[Column]:
+    """All columns in forms that have a hash, which maps have not."""
+    return [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+
+
 def batch_input(df: DataFrame, names: list[str], column: str) -> tuple[DataFrame, int]:
     """The columns kept and, at the place returned, a string column to work on; one that is kept isn't sent twice."""
     if column in names and df.schema[column].dataType.simpleString() == "string":

@@ -8,28 +8,32 @@ share to within less than one block.
 Weights are whole numbers, so the schedule repeats after their sum: the driver makes one period, and a block's slot
 follows from its number alone. When a source has no block left, a new phase begins in which the others share the
 slots in proportion to their weights; there are at most as many phases as sources named. Whatever the size of the
-corpus, the driver sees one count per named source.
+corpus, the driver sees one count per named source. Weights are taken by their greatest common divisor, and may then sum
+up to MOST_SLOTS, as the driver makes that many slots.
 
 Nulls and edge cases: sources that the weights don't name, null among them, are pooled under ``OTHER``; within a source
-documents are ordered by a digest of their id (null ids first), so the order is random and repeatable; repeated rows
-keep places of their own; an empty table gives no rows. Null texts are kept. Columns that this operator adds
-(``pool block slot place``) replace input columns of those names.
+documents are ordered by a digest of their id (of all their columns where it is null), so the order is random and
+repeatable; repeated rows keep places of their own; an empty table gives no rows. Null texts are kept. Columns that this operator adds
+(``pool block slot place``) replace input columns of those names; other columns may have any name.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
-from math import ceil, floor
+from math import ceil, floor, gcd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from byteloom.llm.common import salted_rank
+from byteloom.llm.common import fresh, hashable, salted_rank
 
 OTHER = "*"
+ADDED = ("pool", "block", "slot", "place")
 BLOCK_ROWS = 16
 #: Documents of one source that one task orders, about.
 RANK_ROWS = 500
+#: Slots of one period at most, by sources named at most: both tables that are broadcast are bounded by these.
+MOST_SLOTS, MOST_SOURCES = 10_000, 256
 
 
 def window(j: int, weight: Fraction) -> tuple[int, int]:
@@ -90,34 +94,40 @@ def mix(docs: DataFrame, weights: dict[str, int], id_col: str = "doc_id", source
     if not weights or any(not isinstance(w, int) or w <= 0 for w in weights.values()):
         raise ValueError("weights must be positive whole numbers")
     weights = {OTHER: max(1, min(weights.values()))} | weights
+    weights = {s: w // gcd(*weights.values()) for s, w in weights.items()}
+    if sum(weights.values()) > MOST_SLOTS or len(weights) > MOST_SOURCES:
+        raise ValueError(f"{len(weights)} weights sum up to {sum(weights.values())}; {MOST_SOURCES} of {MOST_SLOTS} is the most")
     spark = docs.sparkSession
     named = [s for s in weights if s != OTHER]
-    pooled = docs.drop("pool", "block", "slot", "place").withColumn("pool", F.when(F.col(source_col).isin(named), F.col(source_col)).otherwise(F.lit(OTHER)))
+    base = docs.drop(*ADDED)
+    digest, tie, salt, rank, phase, since, until, slot0, share, cycle, nth, round_, turn = fresh(docs, *"_digest _tie _salt _rank _phase _since _until _slot0 _share _cycle _nth _round _turn".split())
+    source, every = F.col(source_col), F.xxhash64(*hashable(docs))
+    written = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null"), every.cast("string"))))
+    pooled = docs.withColumns({digest: written, tie: every, "pool": F.when(source.isin(named), source).otherwise(F.lit(OTHER))}).drop("block", "slot", "place")
     rows = {r["pool"]: r["count"] for r in pooled.groupBy("pool").count().collect()}
     blocks = {s: -(-n // block_rows) for s, n in rows.items()}
 
     spans, turns = [], []
-    for p, phase in enumerate(phases(weights, blocks)):
-        nth = dict.fromkeys(phase["share"], 0)
-        for slot, s in enumerate(phase["order"]):
-            turns.append((s, p, nth[s], slot))
-            nth[s] += 1
-        spans += [(s, p, phase["first"][s], phase["first"][s] + phase["taken"][s], phase["slot"], phase["share"][s], len(phase["order"])) for s in phase["share"]]
-    spans = spark.createDataFrame(spans, "pool string, phase int, since long, until long, slot0 long, share long, cycle long")
-    turns = spark.createDataFrame(turns, "pool string, phase int, nth long, turn long")
-
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    for p, stretch in enumerate(phases(weights, blocks)):
+        seen = dict.fromkeys(stretch["share"], 0)
+        for slot, s in enumerate(stretch["order"]):
+            turns.append((s, p, seen[s], slot))
+            seen[s] += 1
+        spans += [(s, p, stretch["first"][s], stretch["first"][s] + stretch["taken"][s], stretch["slot"], stretch["share"][s], len(stretch["order"])) for s in stretch["share"]]
+    spans = spark.createDataFrame(spans, f"pool string, {phase} int, {since} long, {until} long, {slot0} long, {share} long, {cycle} long")
+    turns = spark.createDataFrame(turns, f"pool string, {phase} int, {nth} long, {turn} long")
+
     parts = max(1, -(-max(rows.values(), default=0) // RANK_ROWS))
-    salt = F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * parts / F.lit(2**32)).cast("long")
-    ranked = salted_rank(pooled.withColumn("_digest", digest).withColumn("_salt", salt), ["pool"], "_salt", [F.col("_digest"), F.col(id_col)], "_rank")
-    numbered = ranked.withColumn("block", F.floor(F.col("_rank") / block_rows)).withColumn("place", (F.col("_rank") % block_rows).cast("int"))
+    dealt = F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * parts / F.lit(2**32)).cast("long")
+    ranked = salted_rank(pooled.withColumn(salt, dealt), ["pool"], salt, [F.col(digest), F.col(tie)], rank)
+    numbered = ranked.withColumns({"block": F.floor(F.col(rank) / block_rows), "place": (F.col(rank) % block_rows).cast("int")})
     # Both tables are bounded by the weights: (sources x phases) and (phases x sum of weights) rows.
-    in_phase = numbered.join(F.broadcast(spans), ["pool"]).where((F.col("block") >= F.col("since")) & (F.col("block") < F.col("until")))
-    nth = F.col("block") - F.col("since")
-    in_phase = in_phase.withColumn("nth", nth % F.col("share")).withColumn("_round", F.floor(nth / F.col("share")))
-    placed = in_phase.join(F.broadcast(turns), ["pool", "phase", "nth"])
-    slot = F.col("slot0") + F.col("_round") * F.col("cycle") + F.col("turn")
-    return placed.select(*[c for c in docs.columns if c not in ("pool", "block", "slot", "place")], "pool", "block", slot.alias("slot"), "place")
+    in_phase = numbered.join(F.broadcast(spans), ["pool"]).where((F.col("block") >= F.col(since)) & (F.col("block") < F.col(until)))
+    at = F.col("block") - F.col(since)
+    in_phase = in_phase.withColumns({nth: at % F.col(share), round_: F.floor(at / F.col(share))})
+    placed = in_phase.join(F.broadcast(turns), ["pool", phase, nth])
+    slot = F.col(slot0) + F.col(round_) * F.col(cycle) + F.col(turn)
+    return placed.select(*base.columns, "pool", "block", slot.alias("slot"), "place")
 
 
 def interleave(mixed: DataFrame) -> DataFrame:
