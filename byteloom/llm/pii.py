@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from byteloom.llm.common import fresh
+
 #: Base kinds in the order in which they are listed, then those that the method adds.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
@@ -128,8 +130,10 @@ def spans_of(kind: str, text: Column) -> Column:
 
 def detect(docs: DataFrame, text_col: str = "text", output: str = "spans") -> DataFrame:
     """Adds ``output``: all spans of a text as (start, kind, end, score), by start and then kind; ``kind`` indexes KINDS."""
-    by_kind = docs.select(*[c for c in docs.columns if c != output], *[spans_of(k, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias(f"_{k}") for k in KINDS])
-    return by_kind.withColumn(output, F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS]))).drop(*[f"_{k}" for k in KINDS])
+    text, parts = F.coalesce(F.col(text_col).cast("string"), F.lit("")), fresh(docs, *(f"_{k}" for k in KINDS))
+    kept = [c for c in docs.columns if c != output]
+    by_kind = docs.select(*kept, *[spans_of(k, text).alias(n) for k, n in zip(KINDS, parts)])
+    return by_kind.select(*kept, F.array_sort(F.concat(*parts)).alias(output))
 
 
 def written(spans: Column) -> Column:
@@ -139,14 +143,33 @@ def written(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Replaces every span in ``text_col`` by its kind's label; of spans that overlap, the first to start stands for all."""
-    labels = F.array(*[F.lit(LABELS[k]) for k in KINDS])
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    """Replaces every span in ``text_col`` by its kind's label; of spans that overlap, the first to start stands for all.
 
-    def step(acc: Column, s: Column) -> Column:
-        plain = F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.get(labels, s["kind"]))
-        return F.struct(F.when(s["start"] >= acc["at"], plain).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    text = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
-    found = detect(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col, "__spans")
-    return found.withColumn(text_col, F.when(F.size("__spans") > 0, text).otherwise(F.col(text_col))).select(*docs.columns)
+    The text is cut where each BLOCK of spans ends, and spans are replaced within those parts, so time grows with the
+    text's length rather than with its product with the number of spans.
+    """
+    spans, text = fresh(docs, "_spans")[0], F.col(text_col)
+    labels = F.array(*[F.lit(LABELS[k]) for k in KINDS])
+    cut = "struct<since:int,start:int,kind:int>"  # the text from ``since`` to ``start``, then a label
+
+    def add(acc: Column, s: Column) -> Column:
+        more = F.array(F.struct(acc["at"].alias("since"), s["start"].alias("start"), s["kind"].alias("kind")))
+        return F.struct(F.when(s["start"] >= acc["at"], F.concat(acc["cuts"], more)).otherwise(acc["cuts"]).alias("cuts"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    def add_block(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(F.array().cast(f"array<{cut}>").alias("cuts"), acc["at"].alias("at")), add)
+        more = F.array(F.struct(acc["at"].alias("since"), done["at"].alias("until"), done["cuts"].alias("cuts")))
+        return F.struct(F.concat(acc["blocks"], more).alias("blocks"), done["at"].alias("at"))
+
+    def replaced(block: Column) -> Column:
+        held = F.array(F.substring(text, block["since"] + 1, block["until"] - block["since"]))
+        one = lambda own, c: F.concat(F.substring(own, c["since"] - block["since"] + 1, c["start"] - c["since"]), F.get(labels, c["kind"]))
+        return F.array_join(F.transform(held, lambda own: F.array_join(F.transform(block["cuts"], lambda c: one(own, c)), "")), "")
+
+    parts = F.transform(F.sequence(F.lit(0), F.size(spans) - 1, F.lit(BLOCK)), lambda at: F.slice(spans, at + 1, F.lit(BLOCK)))
+    zero = F.struct(F.array().cast(f"array<struct<since:int,until:int,cuts:array<{cut}>>>").alias("blocks"), F.lit(0).alias("at"))
+    blocks = F.aggregate(parts, zero, add_block, lambda acc: acc["blocks"])
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    plain = F.concat(F.array_join(F.transform(blocks, replaced), ""), F.substring(text, last + 1, F.length(text)))
+    found = detect(docs.withColumn(text_col, text.cast("string")), text_col, spans)
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, plain).otherwise(text)).select(*docs.columns)
