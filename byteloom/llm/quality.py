@@ -1,8 +1,8 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
 A text's features are hashed character 1- to 3-grams (case, marks and symbols included), damped and weighted by inverse
-document frequency, and the share of its words that repeat the word before. A bounded sample of labelled texts gives the latent space (a truncated singular value
-decomposition) and its labelled unit vectors; both are broadcast. Every text is projected, its cosines with all labelled
+document frequency, and the share of its words that repeat the word before. A bounded sample of labelled texts gives
+the latent space (a truncated singular value decomposition) and its labelled unit vectors; both are broadcast. Every text is projected, its cosines with all labelled
 vectors are computed exactly in blocks, and its K nearest vote, each with its similarity as weight.
 
 The sample takes up to PER_CLASS texts of each label, those with the smallest hash of their id; votes are weighted
@@ -114,13 +114,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = batch.column(2).to_pylist()
             packed = []
             for at in range(0, len(rows), _ROWS_AT_ONCE):
-                packed += [np.minimum(x, 65535).astype("<u2").tobytes() for x in features(rows[at : at + _ROWS_AT_ONCE])]
+                packed += [x.astype("<f4").tobytes() for x in features(rows[at : at + _ROWS_AT_ONCE])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["order", "label", "features"])
 
     # Repeated ids are cut off at the bound too, in the sample's own order.
     got = texts.select("_order", "_label", "_text").mapInArrow(run, "order long, label int, features binary").orderBy("order", "label", F.xxhash64("features")).limit(2 * per_class).toArrow()
     label = got["label"].to_numpy().astype(np.int64)
-    counts = np.frombuffer(b"".join(got["features"].to_pylist()), "<u2").reshape(len(label), size).astype(np.float32)
+    counts = np.frombuffer(b"".join(got["features"].to_pylist()), "<f4").reshape(len(label), size)
     rows = totals.get(0, 0) + totals.get(1, 0)
     prior = totals.get(1, 0) / rows if rows else 0.0
     if not len(label):
@@ -143,7 +143,7 @@ def score(model: Model, texts: list[str | None], k: int = K) -> np.ndarray:
         unit = _unit(_weigh(features(texts[at : at + _ROWS_AT_ONCE]), model.idf) @ model.axes)
         cosine = unit @ model.vectors.T
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        vote = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 2 * model.weights[near]
+        vote = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) * model.weights[near]
         total, ones = vote.sum(axis=1), (vote * model.labels[near]).sum(axis=1)
         some = (total > 0) & (np.abs(unit).max(axis=1) > 0)
         out[at : at + len(unit)][some] = ones[some] / total[some]
