@@ -6,8 +6,8 @@ matrix, of 2**BITS rows and a column for each language, is broadcast; a batch of
 (rows: texts, entries: the buckets of their n-grams) times that matrix.
 
 Nulls and edge cases: a text that is null or has no letter is ``und`` with score 0, as is every text when nothing was
-learned; ties go to the language that sorts first; rows with a null language aren't learned from; repeated rows
-count each time; an empty table gives no rows. ``classify`` passes on the columns asked for (all, unless told) and
+learned; ties go to the language that sorts first; rows with a null language aren't learned from; more than MOST_LANGS
+languages are an error; repeated rows count each time; an empty table gives no rows. ``classify`` passes on the columns asked for (all, unless told) and
 replaces any named ``lang_pred`` or ``score``.
 """
 
@@ -27,6 +27,8 @@ from byteloom.llm.ngrams import blocks, hashed, letters
 
 BITS, ORDERS, ALPHA = 14, (1, 2, 3), 0.5
 UNKNOWN = "und"
+#: The driver holds a column of counts for each language, so there is an end to them.
+MOST_LANGS = 1024
 _LANGS_HELD = 32
 
 
@@ -78,9 +80,12 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
         yield from flush()
 
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MOST_LANGS + 1).collect())
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"there are more than {MOST_LANGS} languages to learn")
     totals = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(totals["lang"].to_pylist()))
-    index = np.array([langs.index(x) for x in totals["lang"].to_pylist()], dtype=np.int64)
+    place = {x: k for k, x in enumerate(langs)}
+    index = np.array([place[x] for x in totals["lang"].to_pylist()], dtype=np.int64)
     bucket, n = totals["bucket"].to_numpy().astype(np.int64), totals["n"].to_numpy().astype(np.float64)
     counts, texts = np.zeros((size, len(langs))), np.zeros(len(langs))
     docs = bucket < 0
@@ -105,16 +110,16 @@ def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]
     return [model.langs[b] if s else UNKNOWN for b, s in zip(best, some)], np.where(some, posterior, 0.0)
 
 
-def classify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to the columns kept. The model's size is bounded by 2**BITS and the languages."""
+def classify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, output: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and score to the columns kept. The model's size is bounded by 2**BITS and the languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in output]
     rows, at = batch_input(docs, names, text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, values = score(shared.value, batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(langs, pa.string()), pa.array(values, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(langs, pa.string()), pa.array(values, pa.float64())], [*names, *output])
 
-    schema = StructType([*docs.select(*names).schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.select(*names).schema, StructField(output[0], StringType()), StructField(output[1], DoubleType())])
     return rows.mapInArrow(run, schema)
