@@ -22,9 +22,9 @@ URL_RULES = [
     urlfilter.Rule("block", "net", "/es/"),
     urlfilter.Rule("block", "net", "/fr/"),
 ]
-#: Hosts whose names say what they sell, for URLs that no rule fits: a host of this name, or a label that holds the word.
+#: What hosts say that they sell, for URLs that no rule fits: whole words of a host, which dots and hyphens part.
 URL_WORDS = ("adult", "bets", "casino", "pills", "poker", "porn", "xxx")
-URL_GLOBS = [f"*{word}*/**" for word in URL_WORDS] + [f"*{word}*" for word in URL_WORDS]
+URL_GLOBS = [f"{before}{word}{after}" for word in URL_WORDS for before in ("", "*.", "*-") for after in ("", ".**", "-**", "/**")]
 #: Equal shares for the sources named; all others share a fifth of one source's.
 SOURCE_WEIGHTS = {f"src{i}": 10 for i in range(20)} | {mixing.OTHER: 2}
 
@@ -107,7 +107,7 @@ fits AS (
   SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(action, length(h || p)) AS action
   FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT parts.page_id, host, path, rule,
-       coalesce(action, CASE WHEN regexp_matches(host, '{_WORDS}') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(action, CASE WHEN regexp_matches(host, '(^|[.-])({_WORDS})([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN fits USING (page_id)""",
     "op10_exact_topk": """
 WITH v AS (
