@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from byteloom.llm.common import checkpoint, salted_rank
+from byteloom.llm.common import checkpoint, fresh, salted_rank
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -243,8 +243,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     histogram = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}
     places = _places(histogram, capacity)
 
-    salts = F.create_map(*[F.lit(x) for k, v in histogram.items() for x in (k, -(-v // RANK_ROWS))]) if histogram else None
-    spread = made.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), salts[F.col("length")] if histogram else F.lit(1)))
+    # At most ``capacity`` lengths.
+    salts = F.broadcast(docs.sparkSession.createDataFrame([(k, -(-v // RANK_ROWS)) for k, v in histogram.items()], "length long, _parts long"))
+    spread = made.join(salts, "length").withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), F.col("_parts"))).drop("_parts")
     ranked = salted_rank(spread, ["length"], "_salt", [F.col(id_col), F.col("piece")], "_rank")
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,15 +261,21 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
 
 def file_order(docs: DataFrame, output: str) -> DataFrame:
-    """Adds each row's place in the files that ``docs`` reads, by file name and row; no row moves."""
-    named = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    held = {r["_file"]: r["n"] for r in named.groupBy("_file").agg((F.max("_row") + 1).alias("n")).collect()}
-    since, starts = 0, []
-    for file in sorted(held):
-        starts.append((file, since))
-        since += held[file]
-    starts = docs.sparkSession.createDataFrame(starts, "_file string, _since long")
-    return named.join(F.broadcast(starts), "_file").select(*docs.columns, (F.col("_since") + F.col("_row")).alias(output))
+    """Adds each row's place in the files that ``docs`` reads, by file name and row; no row moves.
+
+    Rows that aren't read from files are numbered in the order of their partitions.
+    """
+    if not docs.inputFiles():
+        return docs.withColumn(output, F.monotonically_increasing_id())
+    file, row, since = fresh(docs, "_file", "_row", "_since")
+    named = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    held = {r[file]: r["n"] for r in named.groupBy(file).agg((F.max(row) + 1).alias("n")).collect()}
+    before, starts = 0, []
+    for name in sorted(held):
+        starts.append((name, before))
+        before += held[name]
+    starts = docs.sparkSession.createDataFrame(starts, f"{file} string, {since} long")
+    return named.join(F.broadcast(starts), file).select(*docs.columns, (F.col(since) + F.col(row)).alias(output))
 
 
 def pack_in_order(docs: DataFrame, tokenizer_path: str, at_col: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, window_rows: int = WINDOW_ROWS) -> DataFrame:

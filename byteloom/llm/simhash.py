@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from byteloom.llm.common import Scratch, checkpoint, fresh, join_split
+from byteloom.llm.common import Scratch, checkpoint, fresh, hashable, join_split
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
 #: Buckets of more members are split by bits outside their band.
@@ -290,9 +290,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     go and the other stay; of rows that are equal throughout one stays. Whole rows are shuffled once.
     """
     low, high = fresh(docs, "_low", "_high")
-    # Maps have no hash of their own.
-    columns = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema]
-    hashes = {low: F.xxhash64(*columns), high: F.xxhash64(F.lit(1), *columns)}
+    hashes = {low: F.xxhash64(*hashable(docs)), high: F.xxhash64(F.lit(1), *hashable(docs))}
     made = checkpoint(fingerprints(docs, id_col, text_col, shingle_words, hashes))
     first = F.min(F.struct(F.col("id").isNull(), "id", low, high)).alias("first")
     best = made.groupBy("fp").agg(first).join(grouped(made, radius, split_at), "fp").groupBy("root").agg(F.min("first").alias("first"))

@@ -6,8 +6,9 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
-from tests.llm.test_text_operators import base_spans, check_packed, plain_components, plain_fingerprint, prose, token_pieces
+from tests.llm.test_text_operators import CLASHES, base_spans, check_packed, plain_components, plain_fingerprint, prose, token_pieces
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -38,8 +39,8 @@ def test_stages_in_turn(spark, docs, tmp_path):
         if name == "language_id":
             assert after == {i: t for i, t in before.items() if i not in (170, 171)}
         elif name == "simhash_near_dedup":
-            groups = plain_components({i: plain_fingerprint(t) for i, t in before.items() if i is not None})
-            assert set(after) == {i for i, c in groups.items() if i == c} | {None}
+            groups = plain_components({10_000 if i is None else i: plain_fingerprint(t) for i, t in before.items()})
+            assert set(after) == {i if i < 10_000 else None for i, c in groups.items() if i == c}
             assert all(after[i] == before[i] for i in after) and not any(150 <= (i or 0) < 170 for i in after)
         elif name == "pii":
             assert set(after) == set(before)
@@ -69,6 +70,33 @@ def test_repeated_rows_keep_one(spark, docs):
     assert corpus_pipeline.drop_near_duplicates(spark, one.unionByName(one), "").count() == 1
 
 
+def test_two_texts_under_one_id_both_stay(spark, docs):
+    rng = random.Random(16)
+    texts = [prose("en", rng, 150) for _ in range(3)]
+    rows = [(7, texts[0]), (7, texts[1]), (8, texts[0]), (None, texts[2]), (None, texts[2]), (None, texts[1])]
+    given = spark.createDataFrame([(*r, "en", "src0", 1) for r in rows], docs.schema)
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, given, "").collect())
+    assert got == sorted([(7, texts[0]), (7, texts[1]), (0, texts[2])])
+
+
+def test_without_languages_texts_with_letters_stay(spark, docs):
+    given = docs.withColumn("lang", F.lit(None).cast("string"))
+    got = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, given, "").collect()}
+    assert got == {r["doc_id"] for r in docs.collect()} - {170, 171}
+
+
+def test_columns_of_any_name_go_through(spark, docs, tmp_path):
+    for name in CLASHES:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    assert all(r[c] == f"{c}{r['doc_id']}" for r in docs.where("doc_id is not null").collect() for c in CLASHES)
+    assert corpus_pipeline.pack(spark, docs, "").count() >= docs.count()
+
+
 def test_packing_follows_the_mix(spark, tmp_path):
     rng = random.Random(12)
     names = list(corpus_pipeline.SOURCE_WEIGHTS)

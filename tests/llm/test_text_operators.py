@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -185,6 +186,40 @@ def test_long_texts_are_cut_without_losing_an_ngram(monkeypatch):
         assert np.array_equal(np.sort(np.concatenate(parts[k::3])), whole[k][whole[k] < 1 << langid.BITS])
 
 
+def test_language_scores_are_those_of_plain_naive_bayes(spark):
+    """Counts, log-probabilities and posteriors from n-grams that are cut and hashed one by one."""
+    rng = random.Random(15)
+    rows = [(prose(lang := rng.choice(["en", "fr", "de"]), rng, 12) + rng.choice(["", " É1", "!?"]), lang) for _ in range(60)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+
+    def grams(text):
+        letters = [ord(c.lower()[0]) if c.isalpha() else 32 for c in text]
+        for n in (1, 2, 3):
+            for at in range(len(letters) - n + 1):
+                h = n * 0x9E3779B1 % 2**32
+                for point in letters[at : at + n]:
+                    h = (h ^ point) * 0x85EBCA6B % 2**32
+                    h ^= h >> 15
+                yield h >> (32 - langid.BITS)
+
+    counts = {lang: Counter() for lang in ("de", "en", "fr")}
+    for text, lang in rows:
+        counts[lang].update(grams(text))
+    docs, size = Counter(lang for _, lang in rows), 2**langid.BITS
+    asked = [text for text, _ in rows[:20]] + ["été", "the"]
+    langs, scores = langid.score(model, asked)
+    for text, lang, score in zip(asked, langs, scores):
+        logs = {x: math.log(docs[x] / 60) + sum(math.log((c[g] + langid.ALPHA) / (c.total() + langid.ALPHA * size)) for g in grams(text)) for x, c in counts.items()}
+        best = max(logs, key=logs.get)
+        assert lang == best and score == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs.values()))
+
+
+def test_languages_have_an_end(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 2)
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "text string, lang string"))
+
+
 def test_language_id_without_training(spark, odd, none):
     model = langid.train(none)
     rows = langid.classify(odd, model).collect()
@@ -229,7 +264,7 @@ def test_quality_votes_are_exact():
     for text, score in zip(texts[:2], got):
         unit = quality._unit(quality._weigh(quality.features([text]), model.idf) @ model.axes)[0]
         near = sorted(range(50), key=lambda i: -float(unit @ vectors[i]))[:7]
-        votes = [max(float(unit @ vectors[i]), 0) ** 2 for i in near]
+        votes = [max(float(unit @ vectors[i]), 0) for i in near]
         assert score == pytest.approx(sum(v for v, i in zip(votes, near) if labels[i]) / sum(votes))
     assert got[2] == 0.5
 
@@ -295,6 +330,47 @@ def test_pii_added_spans_and_redaction(spark, none):
     assert pii.detect(none).collect() == [] and pii.redact(docs).columns == docs.columns
 
 
+def test_redaction_against_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 4)
+    rng = random.Random(13)
+    bits = ["a@b.com", "1.2.3.4", "4111 1111 1111 1111", "+1 (555) 123-4567", "words ", "é𝒳", "+4111111111111111", "\n", " ", "iban GB82 WEST 1234 5698 7654 32 "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["a@b.co " * 2000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.detect(docs).collect()}
+    for r in pii.redact(docs).collect():
+        text, out, at = texts[r["doc_id"]], "", 0
+        for s in spans[r["doc_id"]]:
+            if s["start"] >= at:
+                out += text[at : s["start"]] + pii.LABELS[pii.KINDS[s["kind"]]]
+            at = max(at, s["end"])
+        assert r["text"] == out + text[at:]
+
+
+CLASHES = "_email _ip _card _phone _iban _ssn spans _spans __spans pool block slot place share phase turn since until slot0 cycle nth _start _salt _rank _digest _tie _round _count _at _parts _input _low _high _file _row _since lang_pred score length".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Documents with a column of each name that operators use inside."""
+    rng = random.Random(14)
+    rows = [(i if i % 7 else None, prose(lang := rng.choice(["en", "fr"]), rng, 60) + " a@b.com", lang, f"src{i % 3}", 5, *[f"{c}{i}" for c in CLASHES]) for i in range(40)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES))
+
+
+def test_operators_pass_on_columns_of_any_name(clashing):
+    rows = sorted(clashing.collect(), key=str)
+
+    def others(found, *replaced):
+        names = [c for c in clashing.columns if c not in replaced]
+        return found.columns, sorted((str([r[c] for c in names]) for r in found.collect())) == sorted(str([r[c] for c in names]) for r in rows)
+
+    assert others(pii.detect(clashing), "spans")[1] and others(pii.redact(clashing), "text") == (clashing.columns, True)
+    assert others(mixing.mix(clashing, {"src0": 2, "src1": 1}), *mixing.ADDED)[1]
+    assert others(langid.classify(clashing, langid.train(clashing)), "lang_pred", "score")[1]
+    assert simhash.near_duplicates(clashing).count() == len(rows) and others(simhash.one_of_each(clashing)) == (clashing.columns, True)
+    assert others(packing.file_order(clashing, "order_"))[1] and packing.pack(clashing, TOKENIZER).count() == len(rows)
+
+
 def test_pii_stays_native(spark, odd):
     plan = pii.detect(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -389,9 +465,9 @@ def test_bit_planes_compare_every_shift():
         assert got == want
 
 
-@pytest.mark.parametrize(("name", "path"), [("up", lambda n: range(n)), ("down", lambda n: range(n, 0, -1)), ("far", lambda n: [*range(1, n), 0]), ("mixed", lambda n: random.Random(4).sample(range(n), n))])
-def test_components_of_paths_take_few_rounds(spark, monkeypatch, name, path):
-    nodes, rounds = list(path(257)), []
+@pytest.mark.parametrize("path", [lambda n: [*range(1, n), 0], lambda n: random.Random(4).sample(range(n), n)], ids=["far", "mixed"])
+def test_components_of_paths_take_few_rounds(spark, monkeypatch, path):
+    nodes, rounds = list(path(129)), []
     plain = simhash.Scratch.write
     monkeypatch.setattr(simhash.Scratch, "write", lambda self, df: rounds.append(1) or plain(self, df))
     edges = spark.createDataFrame([*zip(nodes, nodes[1:]), (1000, 900), (7000, 7000)], "node long, root long")
@@ -483,3 +559,6 @@ def test_mixing_of_odd_documents(spark, odd, none):
     assert mixing.mix(none, {"s": 1}).collect() == []
     with pytest.raises(ValueError, match="positive"):
         mixing.mix(odd, {"s": 0})
+    with pytest.raises(ValueError, match="sum up"):
+        mixing.mix(odd, {"s": 1_000_003, "t": 2})
+    assert mixing.mix(odd, {"s": 2_000_000, "t": 1_000_000, mixing.OTHER: 1_000_000}).count() == len(got)
