@@ -69,6 +69,11 @@ def any_of(data: Column, values: frozenset[int]) -> Column:
     return latin1(data).rlike(byte_class(values)) if values else F.lit(False)
 
 
+def distinct(data: Column) -> Column:
+    """The bytes that occur, each once, as characters."""
+    return F.array_join(F.array_distinct(F.split(latin1(data), "")), "")
+
+
 def byte_class(values: frozenset[int]) -> str:
     return "[" + "".join(rf"\x{v:02X}" for v in sorted(values)) + "]"
 
@@ -93,7 +98,7 @@ def structure(text: Column, encoding: str) -> Column:
     """
     lead, sequence = P.SEQUENCES[encoding]
     valid = F.regexp_extract_all(text, F.lit(f"(?s){sequence}"), F.lit(0))
-    leads = F.size(F.regexp_extract_all(text, F.lit(f"(?s){sequence}|{lead}"), F.lit(0)))
+    leads = F.regexp_count(text, F.lit(f"(?s){sequence}|{lead}"))
     return F.struct(
         leads.alias("leads"),
         F.size(valid).alias("valid"),

@@ -66,15 +66,15 @@ def _rest_udf(options: DetectOptions, shared):
     def rest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         models = shared.value
         for contents, encodings in batches:
-            out = []
-            for content, encoding in zip(contents, encodings):
-                if content is None:
-                    out.append(residual.Found(None, 0.0))
-                elif encoding is None:
-                    out.append(residual.detect_all(bytes(content), options, models)[0])
-                else:
-                    out.append(residual.Found(encoding, 0.0, residual.language(bytes(content), encoding, models) if len(content) else None))
-            yield pd.DataFrame([asdict(f) for f in out], columns=["encoding", "confidence", "language", "mime_type"])
+            asked = [(k, c, e) for k, (c, e) in enumerate(zip(contents, encodings)) if c is not None]
+            out = [residual.Found(None, 0.0)] * len(contents)
+            known = [(k, bytes(c), e) for k, c, e in asked if e is not None and len(c)]
+            for (k, _, e), lang in zip(known, residual.languages([c for _, c, _ in known], [e for _, _, e in known], models)):
+                out[k] = residual.Found(e, 0.0, lang)
+            for k, c, e in asked:
+                if e is None:
+                    out[k] = residual.detect_all(bytes(c), options, models)[0]
+            yield pd.DataFrame({f: [getattr(x, f) for x in out] for f in ("encoding", "confidence", "language", "mime_type")})
 
     return rest
 
@@ -121,21 +121,33 @@ def register(spark: SparkSession, name: str = "detect_encoding", options: Detect
     spark.udf.register(name, _whole_udf(options or DetectOptions()))
 
 
+def above_threshold(found: Column, minimum: float | None = None, ignore: bool = False) -> Column:
+    """The results of a list that reach a threshold: above 0.20, or from ``minimum`` on; all of them if none does."""
+    if ignore and minimum is None:
+        return found
+    least = F.lit(MINIMUM_THRESHOLD if minimum is None else minimum)
+    kept = F.filter(found, lambda f: f["confidence"] > least if minimum is None else f["confidence"] >= least)
+    return F.when(F.size(kept) > 0, kept).otherwise(found)
+
+
+def candidate_log(df: DataFrame, content: str = "content", id_cols: Iterable[str] = ("id",), options: DetectOptions | None = None) -> DataFrame:
+    """For debugging: (ids, line) with every candidate of each value, whatever its confidence, in a line of JSON."""
+    ids = list(id_cols)
+    found = detect_all(df, content, ids, options, ignore_threshold=True)
+    listed = found.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("rank", "encoding", "confidence", "language", "mime_type"))).alias("candidates"))
+    return listed.select(*ids, F.to_json("candidates").alias("line"))
+
+
 def detect_all(
     df: DataFrame, content: str = "content", id_cols: Iterable[str] = ("id",), options: DetectOptions | None = None,
     minimum_threshold: float | None = None, ignore_threshold: bool = False, models: Models | None = None,
 ) -> DataFrame:
     """(ids, rank, encoding, confidence, language, mime_type): every candidate of each row, likeliest first.
 
-    Candidates are kept above 0.20, or from ``minimum_threshold`` on; all are if none reaches it. Null content gives no
-    rows.
+    Candidates are kept as ``above_threshold`` says. Null content gives no rows.
     """
     options = options or DetectOptions()
     shared, ids = share(df.sparkSession, models), list(id_cols)
-    if minimum_threshold is not None:
-        keep = lambda c: c >= minimum_threshold
-    else:
-        keep = lambda c: ignore_threshold or c > MINIMUM_THRESHOLD
 
     @F.pandas_udf(f"array<{S.RESULT}>")
     def everything(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -144,9 +156,9 @@ def detect_all(
             out = []
             for content in contents:
                 found = [] if content is None else residual.detect_all(bytes(content), options, models)
-                found = [f for f in found if keep(f.confidence)] or found
                 out.append([_displayed(f, options) for f in sorted(found, key=lambda f: -f.confidence)])
             yield pd.Series(out)
 
     listed = df.where(F.col(content).isNotNull()).select(*ids, everything(F.col(content)).alias("__all"))
+    listed = listed.withColumn("__all", above_threshold(F.col("__all"), minimum_threshold, ignore_threshold))
     return listed.select(*ids, F.posexplode("__all").alias("pos", "found")).select(*ids, (F.col("pos") + 1).alias("rank"), "found.*")

@@ -14,8 +14,9 @@ def mapping(table: dict[str, str], key: Column) -> Column:
 
 
 def lookup(name: Column) -> Column:
-    """The registered encoding of a name or alias, else null."""
-    return mapping(registry.names(), F.lower(name))
+    """The registered encoding of a name or alias, in any spelling that Python's codecs have, else null."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9.]+", "_"), "^_|_$", "")
+    return F.coalesce(mapping(registry.names(), F.lower(name)), F.when(~F.contains(name, F.lit("\0")), mapping(registry.codec_names(), plain)))
 
 
 def prefer_superset(encoding: Column) -> Column:

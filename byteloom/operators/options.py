@@ -28,6 +28,7 @@ class DetectOptions:
     compat_names: bool = True
     should_rename_legacy: bool = False
     chunk_size: int = CHUNK_SIZE
+    lang_filter: int | None = None
     language: bool = True
 
     def __post_init__(self):
@@ -35,6 +36,8 @@ class DetectOptions:
             raise ValueError("max_bytes must be a positive integer")
         if self.chunk_size != CHUNK_SIZE:
             warnings.warn("chunk_size is not used and will be ignored", DeprecationWarning, stacklevel=3)
+        if self.lang_filter is not None:
+            warnings.warn("lang_filter is not implemented and will be ignored", DeprecationWarning, stacklevel=3)
         if self.should_rename_legacy:
             warnings.warn("should_rename_legacy is deprecated, use prefer_superset instead", DeprecationWarning, stacklevel=3)
             object.__setattr__(self, "prefer_superset", True)

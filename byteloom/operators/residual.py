@@ -22,6 +22,7 @@ from byteloom.tables.models import CELLS, Models, bigrams
 
 STRUCTURED, SCORED_BYTES, LANGUAGE_BYTES = 0.85, 16_384, 2_048
 BAND, BOOST_FROM = 0.005, 0.95
+TEXTS_AT_ONCE = 256
 
 
 @dataclass(frozen=True)
@@ -198,30 +199,28 @@ class Profile:
         self.pairs, count = np.unique(pairs, return_counts=True)
         self.weights = count * idf[self.pairs].astype(np.float64)
         self.norm = float(np.sqrt(np.square(self.weights).sum()))
-        self.similarities: np.ndarray | None = None
 
     def cosines(self, models: Models, rows: range) -> np.ndarray:
-        """The similarity to each of an encoding's models. All models are done at once, at the first call.
+        """The similarity to each of these models.
 
         Products and sums are of whole numbers below 2**53, so equal models give equal results.
         """
-        if self.similarities is None:
-            dots = self.weights @ models.by_cell[self.pairs].astype(np.float64)
-            scale = models.norms * self.norm
-            self.similarities = np.divide(dots, scale, out=np.zeros(len(scale)), where=scale > 0)
-        return self.similarities[rows.start : rows.stop]
-
-    def best(self, models: Models, encoding: str) -> tuple[float, str | None]:
-        """The best model's similarity and language; the first of equals."""
+        dots = self.weights @ models.by_cell[self.pairs, rows.start : rows.stop].astype(np.float64)
+        scale = models.norms[rows.start : rows.stop] * self.norm
+        return np.divide(dots, scale, out=np.zeros(len(scale)), where=scale > 0)
+
+    def best(self, models: Models, encoding: str, cosines: np.ndarray | None = None) -> tuple[float, str | None]:
+        """The best model's similarity and language, the first of equals. ``cosines`` are those of all models, if known."""
         rows = models.of(encoding)
-        scores = self.cosines(models, rows)
+        scores = self.cosines(models, rows) if cosines is None else cosines[rows.start : rows.stop]
         k = int(scores.argmax()) if len(scores) else 0
         return (float(scores[k]), models.keys[rows.start + k][0]) if len(scores) and scores[k] > 0 else (0.0, None)
 
 
 def scored(data: bytes, candidates: list[str], models: Models) -> list[Found]:
     profile = Profile(bigrams(data[:SCORED_BYTES]), models.idf)
-    found = [Found(c, *profile.best(models, c)) for c in candidates]
+    cosines = profile.cosines(models, range(len(models.keys)))
+    found = [Found(c, *profile.best(models, c, cosines)) for c in candidates if len(models.of(c))]
     return sorted((f for f in found if f.confidence > 0), key=lambda f: -f.confidence)
 
 
@@ -359,6 +358,50 @@ def language(data: bytes, encoding: str, models: Models) -> str | None:
     return Profile(bigrams(text), models.idf).best(models, "utf-8")[1] if text else None
 
 
+def best_languages(texts: list[bytes], models: Models, encoding: str = "utf-8") -> list[str | None]:
+    """The language of each text, as ``Profile.best`` finds it, for all texts at once: one table of (text, pair) counts."""
+    rows = models.of(encoding)
+    out: list[str | None] = [None] * len(texts)
+    for start in range(0, len(texts) if len(rows) else 0, TEXTS_AT_ONCE):
+        some = texts[start : start + TEXTS_AT_ONCE]
+        owner = np.repeat(np.arange(len(some)), [len(t) for t in some])
+        pairs = bigrams(b"".join(some))
+        inner = owner[1:] == owner[:-1]
+        if not inner.any():
+            continue
+        keys, count = np.unique(owner[1:][inner] * CELLS + pairs[inner], return_counts=True)
+        cell, of = keys % CELLS, keys // CELLS
+        weights = count * models.idf[cell].astype(np.float64)
+        table = models.by_cell[cell, rows.start : rows.stop]
+        ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of))
+        for at, end in zip(np.append(0, ends[:-1]), ends):
+            own, scale = weights[at:end], models.norms[rows.start : rows.stop]
+            scale = scale * float(np.sqrt(np.square(own).sum()))
+            scores = np.divide(own @ table[at:end].astype(np.float64), scale, out=np.zeros(len(scale)), where=scale > 0)
+            best = int(scores.argmax())
+            if scores[best] > 0:
+                out[start + of[at]] = models.keys[rows.start + best][0]
+    return out
+
+
+def languages(texts: list[bytes], encodings: list[str], models: Models) -> list[str | None]:
+    """``language`` for many values; those that the UTF-8 models judge go together."""
+    out: list[str | None] = [None] * len(texts)
+    wide: list[tuple[int, bytes]] = []
+    for k, (data, encoding) in enumerate(zip(texts, encodings)):
+        own, head = registry.REGISTRY[encoding].languages, data[:LANGUAGE_BYTES]
+        if len(own) == 1:
+            out[k] = own[0]
+        elif encoding == "utf-8" or not len(models.of(encoding)):
+            if text := head if encoding == "utf-8" or encoding == "ascii" and head.isascii() else to_utf8(head, encoding):
+                wide.append((k, text))
+        else:
+            out[k] = language(data, encoding, models)
+    for (k, _), lang in zip(wide, best_languages([t for _, t in wide], models)):
+        out[k] = lang
+    return out
+
+
 def finished(data: bytes, found: list[Found], options: DetectOptions, models: Models) -> list[Found]:
     out = []
     for f in found:

@@ -17,14 +17,21 @@ from pyspark.sql import Window as W
 
 from byteloom.functions import bytes as B
 from byteloom.functions import patterns as P
+from byteloom.operators import residual
+from byteloom.operators.detect import share
 from byteloom.tables import codepages
 from byteloom.tables.models import CELLS, Models, bigrams, build
 
 
-def bigram_counts(df: DataFrame, content: str = "content", keys: Iterable[str] = ("id",), limit: int | None = None) -> DataFrame:
+#: Models of a corpus that ``trained`` makes at most.
+MOST_MODELS = 256
+
+
+def bigram_counts(df: DataFrame, content: str = "content", keys: Iterable[str] = ("id",), limit: int | None = None, unique: bool = False) -> DataFrame:
     """(keys, bigram, n): how often each pair of adjacent bytes occurs, for each combination of keys.
 
-    Counting within a batch is numpy's; what is left to add up is summed before and after one shuffle.
+    Counting within a row is numpy's; what is left to add up is summed before and after one shuffle. With ``unique``, keys
+    tell rows apart, so nothing is left to add up or to shuffle.
     """
     names = list(keys)
 
@@ -38,7 +45,22 @@ def bigram_counts(df: DataFrame, content: str = "content", keys: Iterable[str] =
     data = B.head(F.col(content), limit) if limit else F.col(content)
     rows = df.where(F.col(content).isNotNull()).select(*names, data.alias("_data"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
-    return rows.mapInArrow(run, f"{kinds}, bigram int, n long").groupBy(*names, "bigram").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(run, f"{kinds}, bigram int, n long")
+    return counted if unique else counted.groupBy(*names, "bigram").agg(F.sum("n").alias("n"))
+
+
+def trained(df: DataFrame, content: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, bigram, w) models and (bigram, idf) of a corpus, counted once.
+
+    The counts go through the driver: at most MOST_MODELS x 65,536 rows, whatever the corpus's size. More models are an error.
+    """
+    rows = df.where(F.col(key).isNotNull())
+    models = rows.select(key).distinct().limit(MOST_MODELS + 1).count()
+    if models > MOST_MODELS:
+        raise ValueError(f"there are more than {MOST_MODELS} models to train")
+    counts = df.sparkSession.createDataFrame(bigram_counts(rows, content, [key]).toArrow())
+    idf = counts.groupBy("bigram").agg(F.log1p(F.lit(float(models)) / F.count(F.lit(1))).alias("idf"))
+    return profiles(counts, idf, [key]), idf
 
 
 def idf_table(counts: DataFrame, models: list[str]) -> DataFrame:
@@ -77,6 +99,23 @@ def within_band(scores: DataFrame, keys: list[str], ties: list[str], band: float
     return out.where((F.col("rank") <= 2) | (F.col("gap") <= band))
 
 
+def encoding_scores(df: DataFrame, content: str = "content", id_col: str = "id", models: Models | None = None) -> DataFrame:
+    """(id, encoding, score, language): how well each encoding's best model fits the bytes, where any does."""
+    shared = share(df.sparkSession, models)
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        every = list(models.index)
+        for batch in batches:
+            for row, value in enumerate(batch.column(1)):
+                found = residual.scored(value.as_py(), every, models)
+                ids = batch.column(0).take(pa.array([row] * len(found), pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([f.encoding for f in found], pa.string()), pa.array([f.confidence for f in found], pa.float64()), pa.array([f.language for f in found], pa.string())], [id_col, "encoding", "score", "language"])
+
+    return df.where(F.col(content).isNotNull()).select(id_col, content).mapInArrow(run, f"`{id_col}` {kind}, encoding string, score double, language string")
+
+
 def train(corpus: DataFrame, lang: str = "lang", content: str = "content", encoding: str = "utf-8") -> Models:
     """Models of all languages in a corpus of bytes. The driver gets languages x 65,536 counts at most."""
     counts = bigram_counts(corpus.where(F.col(lang).isNotNull()), content, [lang]).toArrow()
@@ -104,9 +143,14 @@ def category_votes(df: DataFrame, a: str, b: str, content: str = "content"):
 
 
 def valid_candidates(df: DataFrame, content: str = "content", output: str = "valid_candidates") -> DataFrame:
-    """Adds the single-byte encodings all of whose bytes are defined, in rank order."""
-    checks = [F.when(~B.any_of(F.col(content), codepages.undefined(name)), F.lit(name)) for name in codepages.single_byte()]
-    return df.withColumn(output, F.array_compact(F.array(*checks)))
+    """Adds the single-byte encodings all of whose bytes are defined, in rank order.
+
+    Text is walked once, for the bytes that occur; each code page then looks at those few alone.
+    """
+    lacking = {name: codepages.undefined(name) for name in codepages.single_byte()}
+    seen = "__seen" if output != "__seen" else "__bytes"
+    checks = [F.when(~F.col(seen).rlike(B.byte_class(values)), F.lit(name)) if values else F.when(F.col(content).isNotNull(), F.lit(name)) for name, values in lacking.items()]
+    return df.withColumn(seen, B.distinct(F.col(content))).withColumn(output, F.array_compact(F.array(*checks))).drop(seen)
 
 
 def gated(df: DataFrame, content: str = "content") -> DataFrame:

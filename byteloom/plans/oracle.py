@@ -10,6 +10,7 @@ from byteloom.functions import patterns as P
 from byteloom.functions import stages as S
 from byteloom.plans import queries as Q
 from byteloom.tables import codepages, names, registry
+from byteloom.tables.models import standard
 
 
 def _values(rows) -> str:
@@ -48,7 +49,7 @@ SELECT doc_id, (CASE WHEN pos = 0 THEN -1 ELSE octet_length(encode(substr(text,
 _NUM = lambda parts: "('0x' || " + " || ".join(f"t[{k + 1}]" for k in parts) + ")::BIGINT"
 ORACLE["q_read_numbers"] = f"WITH {DOCS} SELECT doc_id, {_NUM([0, 1, 2, 3])} AS u32_be, {_NUM([3, 2, 1, 0])} AS u32_le, {_NUM([4, 5])} AS u16_be, {_NUM([5, 4])} AS u16_le FROM d WHERE len(t) >= 8"
 ORACLE["q_byte_sets"] = f"WITH {LATIN} SELECT doc_id, " + ", ".join(f"{_count('x IN ' + _in(codepages.distinguishing()[e]))} > 0 AS has_{e.replace('-', '_')}" for e in ("cp1254", "iso8859-14")) + " FROM l"
-ORACLE["q_low_bytes"] = "SELECT doc_id, array_to_string(list_transform(regexp_extract_all(substr(text, 1, 200), '(?s).'), lambda c: printf('%02X', unicode(c) & 255)), '') AS low_hex FROM documents"
+ORACLE["q_low_bytes"] = "SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c: printf('%02X', unicode(c) & 255)), '') AS low_hex FROM documents"
 ORACLE["q_ascii"] = f"""WITH d AS (SELECT 'documents' AS origin, doc_id AS id, regexp_extract_all(hex(encode(text)), '..') AS t FROM documents
 UNION ALL SELECT 'benchmark', item_id, regexp_extract_all(hex(encode(text)), '..') FROM benchmark) SELECT origin, id, {_ASCII} AS confidence FROM d"""
 ORACLE["q_ascii_nulls"] = f"WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(text)) || repeat('00', doc_id % 40), '..') AS t FROM documents) SELECT doc_id, {_ASCII} AS confidence FROM d"
@@ -58,7 +59,7 @@ SELECT origin, id, sub, {_count("x >= '80'")}::BIGINT AS mb_bytes, round({_UTF8}
 ORACLE["q_binary_ratio"] = f"WITH d AS (SELECT doc_id, regexp_extract_all(repeat('01', doc_id % 30) || hex(encode(text)), '..') AS t FROM documents) SELECT doc_id, {_count(_CONTROL)}::INTEGER AS n_control, {_count(_CONTROL)} > 0.01 * len(t) AS is_binary FROM d"
 _BOM = "CASE " + " ".join(f"WHEN starts_with(h, '{m.hex().upper()}')" + (f" AND (length(h) // 2 - {len(m)}) % 4 = 0" if n == "utf-32" else "") + f" THEN '{n}'" for m, n in S.MARKS) + " END"
 ORACLE["q_bom"] = f"WITH d AS (SELECT doc_id, ({_choose([m.hex().upper() for m, _ in S.MARKS] + [''], 'doc_id')}) || hex(encode(text)) AS h FROM documents) SELECT doc_id, {_BOM} AS encoding FROM d"
-_CHARS = "c AS (SELECT doc_id, regexp_extract_all(substr(text, 1, 200), '(?s).') AS c FROM documents)"
+_CHARS = "c AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS c FROM documents)"
 ORACLE["q_utf16_lanes"] = f"WITH {_CHARS} SELECT doc_id, len(c)::BIGINT AS n_units, len(list_filter(c, lambda x: unicode(x) < 256))::INTEGER AS high_nulls, len(list_filter(c, lambda x: unicode(x) % 256 = 0))::INTEGER AS low_nulls FROM c"
 ORACLE["q_utf32_lanes"] = f"WITH {_CHARS} SELECT doc_id, " + ", ".join(f"len(list_filter(c, lambda x: (unicode(x) >> {24 - 8 * k}) % 256 = 0))::INTEGER AS lane{k}_nulls" for k in range(4)) + " FROM c"
 ORACLE["q_wide_detect"] = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'utf-16-le' WHEN 1 THEN 'utf-16-be' WHEN 2 THEN 'utf-32-le' ELSE 'utf-32-be' END AS encoding FROM documents WHERE length(text) >= 8"
@@ -142,21 +143,21 @@ SELECT d.doc_id, ({len(codepages.single_byte())} - coalesce(n, 0))::INTEGER AS n
 _DIM = f"e(ordinal, name, era, mb) AS (VALUES {_values((e.ordinal, e.name, int(e.era), int(e.is_multibyte)) for e in registry.REGISTRY.values())})"
 ORACLE["q_candidates_by_era"] = f"WITH {_DIM}, m(era_name, mask) AS (VALUES {_values([(x.name, int(x)) for x in (*registry.Era, registry.Era.ALL)])}) SELECT era_name, count(*) AS n, sum(mb)::BIGINT AS n_multibyte, min(ordinal)::INTEGER AS first_ordinal FROM e JOIN m ON (era & mask) <> 0 GROUP BY era_name"
 ORACLE["q_alias_lookup"] = f"WITH {_NAMES}, a AS (SELECT doc_id, {_choose(Q._ASKED, 'doc_id')} AS asked FROM documents) SELECT doc_id, asked, encoding FROM a LEFT JOIN n ON alias = lower(asked)"
-ORACLE["q_threshold_filter"] = """WITH c AS (SELECT doc_id, list_transform([0, 1, 2, 3], lambda k: ((doc_id * 7 + k * 13) % 50) / 100.0) AS c FROM documents),
+ORACLE["q_threshold_filter"] = """WITH c AS (SELECT doc_id, list_transform([0, 1, 2, 3], lambda k: ((doc_id * 7 + k * 13 + length(text)) % 50) / 100.0) AS c FROM documents),
 f AS (SELECT doc_id, len(c) AS n, len(list_filter(c, lambda x: x > 0.2)) AS a, len(list_filter(c, lambda x: x >= 0.4)) AS b FROM c)
-SELECT doc_id, (CASE WHEN a = 0 THEN n ELSE a END)::INTEGER AS n_default, (CASE WHEN b = 0 THEN n ELSE b END)::INTEGER AS n_custom FROM f"""
+SELECT doc_id, (CASE WHEN a = 0 THEN n ELSE a END)::INTEGER AS n_default, (CASE WHEN b = 0 THEN n ELSE b END)::INTEGER AS n_custom, n::INTEGER AS n_ignored FROM f"""
 #: (doc_id, lang, bigram), one row for each pair of adjacent bytes.
 PAIRS = f"{DOCS}, g AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(t)), lambda k: ('0x' || t[k] || t[k + 1])::INTEGER)) AS bigram FROM d)"
 ORACLE["q_bigram_profile"] = f"""WITH {PAIRS}, c AS (SELECT lang, bigram, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY ALL),
 r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY n DESC, bigram)::INTEGER AS rank, bigram, n FROM c) SELECT * FROM r WHERE rank <= 20"""
 ORACLE["q_bigram_norm"] = f"WITH {PAIRS}, c AS (SELECT doc_id, bigram, count(*) AS n FROM g GROUP BY ALL) SELECT doc_id, round(sqrt(sum(n * n)::DOUBLE), 6) AS norm FROM c GROUP BY doc_id"
-#: (doc_id, lang, score) of odd documents against models of the even ones.
+#: (doc_id, lang, score) of labelled documents against models of all of them.
 SCORES = """d AS (SELECT doc_id, lang, regexp_extract_all(hex(encode(text)), '..') AS t FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
-tg AS (SELECT lang, unnest(list_transform(range(1, len(t)), lambda k: ('0x' || t[k] || t[k + 1])::INTEGER)) AS bigram FROM d WHERE doc_id % 2 = 0),
+tg AS (SELECT lang, unnest(list_transform(range(1, len(t)), lambda k: ('0x' || t[k] || t[k + 1])::INTEGER)) AS bigram FROM d),
 tc AS (SELECT lang, bigram, count(*) AS n FROM tg GROUP BY ALL),
 idf AS (SELECT bigram, ln(1 + (SELECT count(DISTINCT lang) FROM tc)::DOUBLE / count(*)) AS idf FROM tc GROUP BY bigram),
 m AS (SELECT lang, bigram, n * idf AS w FROM tc JOIN idf USING (bigram)),
-qg AS (SELECT doc_id, unnest(list_transform(range(1, len(t[1:2048])), lambda k: ('0x' || t[k] || t[k + 1])::INTEGER)) AS bigram FROM d WHERE doc_id % 2 = 1),
+qg AS (SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda k: ('0x' || t[k] || t[k + 1])::INTEGER)) AS bigram FROM d),
 q AS (SELECT doc_id, bigram, n * idf AS w FROM (SELECT doc_id, bigram, count(*) AS n FROM qg GROUP BY ALL) JOIN idf USING (bigram)),
 mn AS (SELECT lang, sqrt(sum(w * w)) AS norm FROM m GROUP BY lang), qn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM q GROUP BY doc_id),
 dots AS (SELECT doc_id, lang, sum(q.w * m.w) AS dot FROM q JOIN m USING (bigram) GROUP BY ALL),
@@ -205,7 +206,7 @@ r AS (SELECT origin, CASE WHEN {_SAYS} THEN 'utf-8' WHEN ({_ASCII}) IS NOT NULL
   CASE WHEN {_SAYS} THEN 0.95 ELSE coalesce({_ASCII}, {_UTF8}) END AS confidence FROM t)"""
 ORACLE["q_detect_mix"] = f"WITH {_MIX} SELECT origin, encoding, mime_type, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM r GROUP BY ALL"
 ORACLE["q_detect_join_labels"] = f"WITH {DOCS}, r AS (SELECT doc_id, CASE WHEN ({_ASCII}) IS NOT NULL THEN 'ascii' ELSE 'utf-8' END AS encoding FROM d) SELECT encoding, quality, count(*) AS n, sum(toxic)::BIGINT AS n_toxic FROM r JOIN labels USING (doc_id) GROUP BY ALL"
-ORACLE["q_stream_chunks"] = f"WITH {DOCS} SELECT doc_id, least(len(t), 1000)::INTEGER AS n_bytes, md5(unhex(h[1:2000])) AS content_md5 FROM d"
+ORACLE["q_stream_chunks"] = f"WITH {DOCS} SELECT doc_id, least(len(t), 200000)::INTEGER AS n_bytes, md5(unhex(h[1:400000])) AS content_md5 FROM d"
 ORACLE["q_stream_detect"] = f"WITH {DOCS} SELECT doc_id, CASE WHEN ({_ASCII}) IS NOT NULL THEN 'ascii' ELSE 'utf-8' END AS encoding, coalesce({_ASCII}, round({_UTF8}, 6)) AS confidence FROM d"
 ORACLE["q_running_bytes"] = """WITH t AS (SELECT conv_id, turn, octet_length(encode(text)) AS n FROM conversations), w AS (
   SELECT conv_id, turn, n, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM t)
@@ -215,3 +216,35 @@ _PLUS = f"({_ASCII}) IS NOT NULL AND {_count('x = ' + chr(39) + '2B' + chr(39))}
 ORACLE["q_detect_native"] = f"WITH {DOCS} SELECT doc_id, NOT ({_PLUS}) AS decided, CASE WHEN {_PLUS} THEN NULL WHEN ({_ASCII}) IS NOT NULL THEN 'ascii' ELSE 'utf-8' END AS encoding FROM d"
 ORACLE["q_detect_column"] = f"WITH p AS (SELECT page_id, regexp_extract_all(hex(encode(html)), '..') AS t FROM pages) SELECT page_id, 'utf-8' AS encoding, CASE WHEN {_CUT} THEN 'text/plain' ELSE 'text/html' END AS mime_type FROM p"
 ORACLE["q_era_filter"] = f"WITH {DOCS} SELECT doc_id, 'utf-8' AS encoding, ({_ASCII}) IS NULL AS is_structural FROM d"
+
+
+def _cells(values) -> str:
+    return " ".join(f"{c}:{v}" for c, v in values)
+
+
+def _models(encodings: list[str] | None = None) -> str:
+    """mw (model, lang, enc, norm, bigram, w) and idf (bigram, idf): the trained tables, written out."""
+    models = standard()
+    own = [k for k, (_, e) in enumerate(models.keys) if encodings is None or e in encodings]
+    rows = [(k, *models.keys[k], float(models.norms[k]), _cells((int(c), int(models.weights[k, c])) for c in models.weights[k].nonzero()[0])) for k in own]
+    idf = [(_cells((int(c), int(models.idf[c])) for c in range(len(models.idf)) if models.idf[c] != 1),)]
+    cut = lambda table: f"SELECT * EXCLUDE (cells, x), split_part(x, ':', 1)::INTEGER AS bigram, split_part(x, ':', 2)::INTEGER AS w FROM (SELECT *, unnest(string_split(cells, ' ')) AS x FROM {table})"
+    return f"m(model, lang, enc, norm, cells) AS (VALUES {_values(rows)}), mw AS ({cut('m')}), i(cells) AS (VALUES {_values(idf)}), idf AS (SELECT bigram, w AS idf FROM ({cut('i')}))"
+
+
+def _fits(source: str, size: int) -> str:
+    """fit (doc_id, model, lang, enc, score): similarities of the first bytes of ``source`` to models."""
+    return f"""pairs AS (SELECT doc_id, unnest(list_transform(range(1, least(len(t), {size})), lambda k: ('0x' || t[k] || t[k + 1])::INTEGER)) AS bigram FROM {source}),
+weighed AS (SELECT doc_id, bigram, n * coalesce(idf, 1) AS v FROM (SELECT doc_id, bigram, count(*) AS n FROM pairs GROUP BY ALL) LEFT JOIN idf USING (bigram)),
+lengths AS (SELECT doc_id, sqrt(sum(v * v)::DOUBLE) AS length FROM weighed GROUP BY doc_id),
+fit AS (SELECT doc_id, model, lang, enc, sum(v * w)::DOUBLE / (norm * any_value(length)) AS score FROM weighed JOIN mw USING (bigram) JOIN lengths USING (doc_id) GROUP BY doc_id, model, lang, enc, norm)"""
+
+
+ORACLE["q_encoding_scores"] = f"""WITH {LATIN}, {_models()}, {_fits('l', 16384)},
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, enc ORDER BY score DESC, model) AS nth FROM fit)
+SELECT doc_id, enc AS encoding, round(score, 6) AS score, lang AS language FROM r WHERE nth = 1"""
+ORACLE["q_detect_full"] = f"""WITH {DOCS}, {_models(['utf-8'])}, {_fits('d', 2048)},
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, model) AS nth FROM fit)
+SELECT d.doc_id, CASE WHEN len(t) > 0 AND ({_ASCII}) IS NOT NULL THEN 'ascii' ELSE 'utf-8' END AS encoding,
+       CASE WHEN len(t) = 0 THEN 0.1 ELSE coalesce({_ASCII}, round({_UTF8}, 6)) END AS confidence, r.lang AS language, 'text/plain' AS mime_type
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id AND nth = 1"""

@@ -12,9 +12,10 @@ from byteloom.functions import bytes as B
 from byteloom.functions import patterns as P
 from byteloom.functions import stages as S
 from byteloom.operators import names, scoring, transcode
-from byteloom.operators.detect import column, detect, detect_all, detect_native
+from byteloom.operators.detect import above_threshold, column, detect, detect_all, detect_native
 from byteloom.operators.options import DetectOptions
-from byteloom.streaming.chunks import assembled, detect_chunks, split
+from byteloom.sources.files import spread_small
+from byteloom.streaming.chunks import assembled, detect_chunks, progress, split
 from byteloom.tables import codepages, registry
 from byteloom.tables import names as name_tables
 
@@ -33,12 +34,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, content): the texts as UTF-8 bytes."""
-    return read(spark, sf_dir, "documents").select("doc_id", "lang", "source", B.utf8(F.col("text")).alias("content"))
+    return spread_small(read(spark, sf_dir, "documents")).select("doc_id", "lang", "source", B.utf8(F.col("text")).alias("content"))
 
 
 def latin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, content): the texts that Latin-1 can hold, as Latin-1 bytes."""
-    docs = read(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A[\x00-\xFF]*\z"))
+    docs = spread_small(read(spark, sf_dir, "documents")).where(F.col("text").rlike(r"\A[\x00-\xFF]*\z"))
     return docs.select("doc_id", "lang", F.encode("text", "ISO-8859-1").alias("content"))
 
 
@@ -83,8 +84,8 @@ def q_byte_sets(spark, sf_dir):
 @query
 def q_low_bytes(spark, sf_dir):
     """Strings as the low bytes of their UTF-16 units."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("t"))
-    return docs.select("doc_id", F.hex(B.low_bytes(F.col("t"))).alias("low_hex"))
+    docs = spread_small(read(spark, sf_dir, "documents"))
+    return docs.select("doc_id", F.hex(B.low_bytes(F.col("text"))).alias("low_hex"))
 
 
 @query
@@ -132,14 +133,14 @@ def _lane(data: Column, width: int, lane: int) -> Column:
 @query
 def q_utf16_lanes(spark, sf_dir):
     """NULs in each lane of UTF-16."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.encode(F.substring("text", 1, 200), "UTF-16BE").alias("content"))
+    docs = spread_small(read(spark, sf_dir, "documents")).select("doc_id", F.encode("text", "UTF-16BE").alias("content"))
     return docs.select("doc_id", F.floor(F.octet_length(data()) / 2).alias("n_units"), _lane(data(), 2, 0).alias("high_nulls"), _lane(data(), 2, 1).alias("low_nulls"))
 
 
 @query
 def q_utf32_lanes(spark, sf_dir):
     """NULs in each lane of UTF-32."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", B.utf32(F.substring("text", 1, 200)).alias("content"))
+    docs = spread_small(read(spark, sf_dir, "documents")).select("doc_id", B.utf32(F.col("text")).alias("content"))
     return docs.select("doc_id", *[_lane(data(), 4, k).alias(f"lane{k}_nulls") for k in range(4)])
 
 
@@ -151,7 +152,7 @@ def q_wide_detect(spark, sf_dir):
     content = kinds[-1]
     for k, kind in enumerate(kinds[:-1]):
         content = F.when(F.col("doc_id") % 4 == k, kind).otherwise(content)
-    docs = read(spark, sf_dir, "documents").where(F.length("text") >= 8).select("doc_id", content.alias("content"))
+    docs = spread_small(read(spark, sf_dir, "documents")).where(F.length("text") >= 8).select("doc_id", content.alias("content"))
     return detect(docs, options=DetectOptions(language=False)).select("doc_id", F.col("detected.encoding").alias("encoding"))
 
 
@@ -210,7 +211,7 @@ def _declarations(df: DataFrame) -> DataFrame:
 @query
 def q_markup_html(spark, sf_dir):
     """What pages declare."""
-    pages = read(spark, sf_dir, "pages").select("page_id", B.utf8(F.col("html")).alias("content"))
+    pages = spread_small(read(spark, sf_dir, "pages")).select("page_id", B.utf8(F.col("html")).alias("content"))
     return _declarations(pages).select("page_id", F.col("name1").alias("declared"), "found.encoding", "found.mime_type")
 
 
@@ -270,11 +271,11 @@ def q_alias_lookup(spark, sf_dir):
 
 @query
 def q_threshold_filter(spark, sf_dir):
-    """candidate lists cut at a threshold, whole if none passes."""
-    conf = lambda k: ((F.col("doc_id") * 7 + k * 13) % 50) / 100.0
+    """lists of candidates cut at a threshold, whole if none reaches it."""
+    conf = lambda k: F.struct(((F.col("doc_id") * 7 + k * 13 + F.length("text")) % 50 / 100.0).alias("confidence"))
     docs = read(spark, sf_dir, "documents").select("doc_id", F.array(*[conf(k) for k in range(4)]).alias("all"))
-    cut = lambda kept: F.size(F.when(F.size(kept) == 0, F.col("all")).otherwise(kept))
-    return docs.select("doc_id", cut(F.filter("all", lambda c: c > 0.2)).alias("n_default"), cut(F.filter("all", lambda c: c >= 0.4)).alias("n_custom"))
+    sizes = {"n_default": above_threshold(F.col("all")), "n_custom": above_threshold(F.col("all"), 0.4), "n_ignored": above_threshold(F.col("all"), ignore=True)}
+    return docs.select("doc_id", *[F.size(kept).alias(n) for n, kept in sizes.items()])
 
 
 @query
@@ -293,12 +294,10 @@ def q_bigram_norm(spark, sf_dir):
 
 
 def _language_scores(spark, sf_dir) -> DataFrame:
-    """(doc_id, lang, score): odd documents against models of the even ones."""
+    """(doc_id, lang, score): all labelled documents, whole, against models of all of them."""
     docs = documents(spark, sf_dir).where("lang is not null")
-    trained = scoring.bigram_counts(docs.where("doc_id % 2 = 0"), keys=["lang"])
-    idf = scoring.idf_table(trained, ["lang"])
-    models = scoring.profiles(trained, idf, ["lang"])
-    asked = scoring.bigram_counts(docs.where("doc_id % 2 = 1"), keys=["doc_id"], limit=2048)
+    models, idf = scoring.trained(docs, "content", "lang")
+    asked = scoring.bigram_counts(docs, keys=["doc_id"], unique=True)
     return scoring.cosines(scoring.profiles(asked, idf, ["doc_id"]), models, ["doc_id"], ["lang"])
 
 
@@ -402,7 +401,7 @@ def q_accuracy_by_lang(spark, sf_dir):
 
 def _everything(spark, sf_dir) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.lit("documents").alias("origin"), "content")
-    pages = read(spark, sf_dir, "pages").select(F.lit("pages").alias("origin"), B.utf8(F.col("html")).alias("content"))
+    pages = spread_small(read(spark, sf_dir, "pages")).select(F.lit("pages").alias("origin"), B.utf8(F.col("html")).alias("content"))
     turns = read(spark, sf_dir, "conversations").select(F.lit("conversations").alias("origin"), B.utf8(F.col("text")).alias("content"))
     return docs.unionByName(pages).unionByName(turns)
 
@@ -418,9 +417,10 @@ def q_detect_mix(spark, sf_dir):
 @query
 def q_detect_join_labels(spark, sf_dir):
     """Detection joined to labels."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", B.utf8(F.col("text")).alias("content"))
+    labels = read(spark, sf_dir, "labels")
+    docs = documents(spark, sf_dir).join(labels.select("doc_id"), "doc_id", "left_semi")
     found = detect(docs, options=DetectOptions(language=False)).select("doc_id", F.col("detected.encoding").alias("encoding"))
-    joined = found.join(read(spark, sf_dir, "labels"), "doc_id")
+    joined = found.join(labels, "doc_id")
     return joined.groupBy("encoding", "quality").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("toxic").cast("long")).alias("n_toxic"))
 
 
@@ -428,7 +428,7 @@ def q_detect_join_labels(spark, sf_dir):
 def q_stream_chunks(spark, sf_dir):
     """Content cut into 64-byte chunks, put together again up to a limit."""
     chunks = split(documents(spark, sf_dir), 64, "doc_id")
-    whole = assembled(chunks, "doc_id", max_bytes=1000)
+    whole = assembled(chunks, "doc_id")
     return whole.select("doc_id", F.octet_length(data()).alias("n_bytes"), F.md5(data()).alias("content_md5"))
 
 
@@ -442,11 +442,16 @@ def q_stream_detect(spark, sf_dir):
 
 @query
 def q_running_bytes(spark, sf_dir):
-    """Bytes before each turn of a conversation, and whether the limit was reached."""
-    w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
-    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length(B.utf8(F.col("text"))).alias("n"))
-    before = F.coalesce(F.sum("n").over(w), F.lit(0))
-    return turns.select("conv_id", "turn", before.alias("before"), (before + F.col("n") >= 500).alias("done"))
+    """Bytes before each turn of a conversation, and whether a limit is reached with it."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", B.utf8(F.col("text")).alias("content"))
+    return progress(turns, "conv_id", "turn", "content", 500).select("conv_id", "turn", "before", "done")
+
+
+@query
+def q_encoding_scores(spark, sf_dir):
+    """How well each encoding fits, with its likeliest language, for Latin-1 bytes."""
+    found = scoring.encoding_scores(latin(spark, sf_dir), id_col="doc_id")
+    return found.select("doc_id", "encoding", F.round("score", 6).alias("score"), "language")
 
 
 @query
@@ -465,7 +470,7 @@ def q_detect_full(spark, sf_dir):
 @query
 def q_detect_column(spark, sf_dir):
     """Detection as one column expression."""
-    pages = read(spark, sf_dir, "pages").select("page_id", column(B.utf8(F.col("html"))).alias("r"))
+    pages = spread_small(read(spark, sf_dir, "pages")).select("page_id", column(B.utf8(F.col("html"))).alias("r"))
     return pages.select("page_id", "r.encoding", "r.mime_type")
 
 

@@ -3,7 +3,8 @@
 A stream's chunks are put together up to ``max_bytes``, and detection runs once, when the stream closes; what the chunks
 were makes no difference. The batch form orders chunks by ``seq``. The streaming form keeps, for each stream, the bytes
 so far and the chunks that came too early; it never holds more than ``max_bytes`` of content in order, and drops what is
-past that.
+past that. Chunks that came early keep no more of their bytes than the limit leaves in any case; if more than EARLY_CHUNKS
+wait for one that is missing, the stream ends with an error, so its state is bounded.
 
 Events: a row without event, or ``feed``, adds its chunk; ``close`` ends the stream and gives its result once; ``reset``
 forgets everything, so the stream starts anew. A chunk that is fed after ``close`` gives a row with ``error`` instead.
@@ -25,21 +26,27 @@ from byteloom.operators.detect import _displayed, _standard_models, detect
 from byteloom.operators.options import DetectOptions
 
 FEED, CLOSE, RESET = "feed", "close", "reset"
+EARLY_CHUNKS = 10_000
 OUTPUT = "encoding string, confidence double, language string, mime_type string, n_bytes long, error string"
 STATE = "buffer binary, next long, closed boolean, early_seqs array<long>, early_chunks array<binary>, early_events array<string>"
 
 
+def progress(chunks: DataFrame, key: str, seq: str, chunk: str, max_bytes: int) -> DataFrame:
+    """Adds ``before``, the bytes of a stream's chunks before each one, and ``done``: with it, ``max_bytes`` are reached."""
+    before = F.sum(F.octet_length(chunk)).over(W.partitionBy(key).orderBy(seq).rowsBetween(W.unboundedPreceding, -1))
+    placed = chunks.withColumn("before", F.coalesce(before, F.lit(0).cast("long")))
+    return placed.withColumn("done", F.col("before") + F.coalesce(F.octet_length(chunk), F.lit(0)) >= max_bytes)
+
+
 def assembled(chunks: DataFrame, key: str = "stream_id", seq: str = "seq", chunk: str = "chunk", max_bytes: int | None = None) -> DataFrame:
     """(key, content): each stream's chunks in order, cut at ``max_bytes``. Null chunks count as empty."""
     most = max_bytes or DetectOptions().max_bytes
-    before = F.sum(F.octet_length(chunk)).over(W.partitionBy(key).orderBy(seq).rowsBetween(W.unboundedPreceding, -1))
-    placed = chunks.where(F.col(chunk).isNotNull()).withColumn("_before", F.coalesce(before, F.lit(0)))
-    kept = placed.where(F.col("_before") < most).select(key, seq, F.expr(f"substring(`{chunk}`, 1, {most} - _before)").alias("_part"))
-    parts = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col("_part").alias("part"))))
-    joined = kept.groupBy(key).agg(parts.alias("_parts"))
-    content = F.aggregate("_parts", F.lit(b""), lambda acc, p: F.concat(acc, p["part"]))
-    found = joined.select(key, content.alias("content"))
-    return chunks.select(key).distinct().join(found, key, "left").select(key, F.coalesce("content", F.lit(b"")).alias("content"))
+    placed = progress(chunks.select(key, seq, chunk), key, seq, chunk, most)
+    part = F.when(F.col("before") < most, F.expr(f"substring(`{chunk}`, 1, cast({most} - before as int))"))
+    # A chunk that is null or past the limit counts as none, so each stream has a row.
+    parts = F.array_sort(F.collect_list(F.when(part.isNotNull(), F.struct(F.col(seq).alias("seq"), part.alias("part")))))
+    joined = placed.groupBy(key).agg(parts.alias("_parts"))
+    return joined.select(key, F.aggregate("_parts", F.lit(b""), lambda acc, p: F.concat(acc, p["part"])).alias("content"))
 
 
 def detect_chunks(chunks: DataFrame, key: str = "stream_id", seq: str = "seq", chunk: str = "chunk", options: DetectOptions | None = None) -> DataFrame:
@@ -83,7 +90,8 @@ def detect_stream(
             return
         for batch in batches:
             for s, part, what in zip(batch["seq"], batch["chunk"], batch["event"]):
-                early[int(s)] = (what, b"" if part is None else bytes(part))
+                if int(s) >= following:
+                    early[int(s)] = (what, b"" if part is None else bytes(part)[:most])
         while following in early:
             what, part = early.pop(following)
             following += 1
@@ -96,6 +104,9 @@ def detect_stream(
             elif not closed:
                 out.append(row(key, buffer))
                 closed = True
+        if len(early) > EARLY_CHUNKS:
+            out.append({"key": key[0], **asdict(residual.Found(None, 0.0)), "n_bytes": len(buffer), "error": f"more than {EARLY_CHUNKS} chunks wait for chunk {following}"})
+            early, closed = {}, True
         held = sorted(early)
         state.update((buffer, following, closed, held, [early[s][1] for s in held], [early[s][0] for s in held]))
         if idle_ms:

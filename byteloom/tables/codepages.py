@@ -6,7 +6,7 @@ import unicodedata
 from functools import lru_cache
 from itertools import combinations
 
-from byteloom.tables.registry import REGISTRY
+from byteloom.tables.registry import REGISTRY, lookup
 
 #: Encodings that differ in at most this share of all byte values may be confused.
 CONFUSABLE_SHARE = 0.2
@@ -78,3 +78,42 @@ COMMON_LATIN = ("iso8859-1", "iso8859-15", "cp1252")
 def tajik() -> frozenset[int]:
     """Bytes that are letters in KOI8-T (Tajik ones) and none in KOI8-R."""
     return frozenset(v for v in range(0x80, 0x100) if category("koi8-t", v)[0] == "L" and category("koi8-r", v)[0] != "L")
+
+
+#: Categories by their number in packed tables: fixed values.
+PACKED_CATEGORIES = ("Lu", "Ll", "Lt", "Lm", "Lo", "Mn", "Mc", "Me", "Nd", "Nl", "No", "Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Sm", "Sc", "Sk", "So", "Zs", "Zl", "Zp", "Cc", "Cf", "Cs", "Co", "Cn")
+
+
+def unpack_confusable(data: bytes) -> dict[tuple[str, str], dict[int, tuple[str, str]]]:
+    """Reads a packed table of confusable pairs: for each, the bytes that differ and their categories in both.
+
+    The form: number of pairs (two bytes, big-endian); for each the two names, each after its length, and the number of
+    bytes that differ; for each of those its value and two category numbers. Numbers are one byte but for the first.
+    Names that are registered, or aliases, become registered ones. Says what is wrong with data that isn't in this form.
+    """
+    at = 0
+
+    def take(n: int, what: str) -> bytes:
+        nonlocal at
+        if at + n > len(data):
+            raise ValueError(f"packed pairs end at {len(data)}, inside {what} at {at}")
+        at += n
+        return data[at - n : at]
+
+    def name() -> str:
+        raw = take(take(1, "a length")[0], "a name")
+        try:
+            text = raw.decode()
+        except UnicodeDecodeError as e:
+            raise ValueError(f"a name before {at} isn't UTF-8") from e
+        return lookup(text) or text
+
+    def kind(number: int) -> str:
+        return PACKED_CATEGORIES[number] if number < len(PACKED_CATEGORIES) else "Cn"
+
+    found = {}
+    for _ in range(int.from_bytes(take(2, "the number of pairs"), "big")):
+        pair, size = (name(), name()), take(1, "a count")[0]
+        rows = [take(3, "a difference") for _ in range(size)]
+        found[pair] = {value: (kind(a), kind(b)) for value, a, b in rows}
+    return found

@@ -59,12 +59,11 @@ class Models:
         """The weights with a row for each cell, so that those of one pair of bytes lie together."""
         return np.ascontiguousarray(self.weights.T)
 
-    @property
+    @cached_property
     def index(self) -> dict[str, range]:
         return _index(self.keys)
 
 
-@lru_cache(8)
 def _index(keys: tuple[tuple[str, str], ...]) -> dict[str, range]:
     found: dict[str, range] = {}
     for row, (_, encoding) in enumerate(keys):

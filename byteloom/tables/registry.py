@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import codecs
+import encodings.aliases
+import pkgutil
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -156,9 +158,14 @@ def names() -> dict[str, str]:
     return found
 
 
+def plain_name(name: str) -> str:
+    """A codec's name in lower case, with one underscore for each run of other characters within it."""
+    return re.sub(r"^_|_$", "", re.sub(r"[^a-z0-9.]+", "_", name.lower()))
+
+
 def _codec_name(name: str) -> str | None:
     """The name of Python's own text or byte codec, for a name of any of its spellings."""
-    plain = re.sub(r"^_|_$", "", re.sub(r"[^a-z0-9.]+", "_", name.lower()))
+    plain = plain_name(name)
     if not plain or "\0" in name:
         return None
     try:
@@ -177,6 +184,18 @@ def lookup(name: str) -> str | None:
     return lookup(codec) if codec is not None and codec != lowered else None
 
 
+@lru_cache(1)
+def codec_names() -> dict[str, str]:
+    """The registered encoding of every name that Python's codecs go by and that ``names`` lacks, in its plain spelling."""
+    known = {*encodings.aliases.aliases, *encodings.aliases.aliases.values(), *(m.name for m in pkgutil.iter_modules(encodings.__path__))}
+    found = {}
+    for name in known | {plain_name(n) for n in names()}:
+        encoding = lookup(name)
+        if encoding is not None:
+            found[plain_name(name)] = encoding
+    return found
+
+
 def require(name: str, parameter: str) -> str:
     found = lookup(name)
     if found is None:

@@ -11,7 +11,7 @@ from byteloom.functions import bytes as B
 from byteloom.functions import patterns as P
 from byteloom.functions import stages as S
 from byteloom.operators import residual as R
-from byteloom.operators.detect import column, detect, detect_all, detect_native, register
+from byteloom.operators.detect import candidate_log, column, detect, detect_all, detect_native, register
 from byteloom.operators.options import DetectOptions
 from byteloom.plans import queries as Q
 from byteloom.tables.models import standard
@@ -210,3 +210,150 @@ def test_low_bytes(spark):
 
 def test_planted_archives():
     assert [R.zip_kind(a).rsplit(".", 1)[-1].rsplit("/", 1)[-1] for a in Q._ARCHIVES] == ["sheet", "document", "java-archive", "x-wheel+zip", "text", "zip"]
+
+
+def plain_ranking(data, options, models):
+    """Structure and statistics in plain steps, with Python's codecs, dictionaries and loops."""
+    from byteloom.tables import codepages as C
+
+    def similar(pairs, rows):
+        counts = {}
+        for pair in pairs:
+            counts[pair] = counts.get(pair, 0) + 1
+        weight = {c: n * int(models.idf[c]) for c, n in counts.items()}
+        length = sum(w * w for w in weight.values()) ** 0.5
+        return [sum(w * int(models.weights[k, c]) for c, w in weight.items()) / (float(models.norms[k]) * length) if length else 0.0 for k in rows]
+
+    def best(pairs, name):
+        rows = list(models.of(name))
+        scores = similar(pairs, rows)
+        k = max(range(len(rows)), key=lambda i: (scores[i], -i), default=None)
+        return (scores[k], models.keys[rows[k]][0]) if k is not None and scores[k] > 0 else (0.0, None)
+
+    pairs = [data[i] * 256 + data[i + 1] for i in range(min(len(data), 16384) - 1)]
+    high, ratios, cover, names = sum(b > 127 for b in data), {}, {}, []
+    for e in options.candidates:
+        if e.is_multibyte:
+            if not R.decodes(data, e.name) or e.name not in P.SEQUENCES:
+                continue
+            leads, valid, mb, kinds = walk(data, e.name)
+            ratio = valid / leads if leads else 0.0
+            if ratio < 0.05 or high < 2 or mb / high < 0.35 or high >= 16 and kinds < 4:
+                continue
+            ratios[e.name], cover[e.name] = ratio, mb / high
+        elif e.name in C.single_byte():
+            if any(C.characters(e.name)[b] is None for b in data) and e.name != "ascii":
+                continue
+        elif not R.decodes(data, e.name):
+            continue
+        names.append(e.name)
+    wide = sorted(ratios, key=lambda n: -ratios[n])
+    boosted = bool(wide) and ratios[wide[0]] >= 0.85
+    order = [*wide, *(n for n in names if n not in ratios)] if boosted else names
+    found = []
+    for n in order:
+        score, lang = best(pairs, n)
+        if score > 0:
+            found.append([n, score * (1 + cover[n]) if boosted and cover.get(n, 0) >= 0.95 else score, lang])
+    found.sort(key=lambda f: -f[1])
+    if boosted:  # sorted before and after the boost, equals in the order of the first
+        first = sorted(([n, *best(pairs, n)] for n in order), key=lambda f: -f[1])
+        place = {n: k for k, (n, _, _) in enumerate(first)}
+        found.sort(key=lambda f: (-f[1], place[f[0]]))
+    if not found:
+        return None
+    # The first candidate that is confusable with the leader, near enough and fits better, takes its place.
+    top = found[0]
+    for k, other in enumerate(found[1:], 1):
+        if k > 1 and top[1] - other[1] > 0.005:
+            break
+        differ = {v for v in range(256) if C.characters(top[0])[v] != C.characters(other[0])[v]} if {top[0], other[0]} <= set(C.single_byte()) else set(range(256))
+        if len(differ) > 0.2 * 256:
+            continue
+        touching = [data[i] * 256 + data[i + 1] for i in range(len(data) - 1) if data[i] in differ or data[i + 1] in differ]
+        a, b = (best(touching, n)[0] for n in (top[0], other[0])) if touching else (0, 0)
+        if a == b:
+            a = b = 0
+            for v in differ & set(data):
+                pa, pb = (C.CATEGORY_PREFERENCE.get(C.category(n, v), 0) for n in (top[0], other[0]))
+                a, b = a + max(pa - pb, 0), b + max(pb - pa, 0)
+        if b > a:
+            found = [[other[0], top[1], other[2]], *found[:k], *found[k + 1 :]]
+            break
+    own = {"iso8859-10", "iso8859-14", "cp1254", "hp-roman8"}
+    if found[0][0] in own and not set(data) & C.distinguishing()[found[0][0]]:
+        common = next((k for k, f in enumerate(found) if k and f[0] in ("iso8859-1", "iso8859-15", "cp1252")), None)
+        if common is not None:
+            niche = found[0]
+            found = [[found[common][0], niche[1], found[common][2]], *[f for k, f in enumerate(found) if k not in (0, common)], niche]
+    if found[0][0] == "koi8-r" and set(data) & C.tajik():
+        k = next((k for k, f in enumerate(found) if f[0] == "koi8-t"), None)
+        if k is not None:
+            found = [[found[k][0], found[0][1], found[k][2]], *[f for i, f in enumerate(found) if i != k]]
+    return found
+
+
+def statistical_values():
+    rng = random.Random(21)
+    for lang, text in sorted(SAMPLES.items()):
+        names = [e.name for e in REGISTRY.values() if lang in e.languages] + ["cp1252", "iso8859-1", "koi8-r", "cp1251", "cp437"]
+        words = text.split()
+        for name in rng.sample(names, min(3, len(names))):
+            yield " ".join(rng.choice(words) for _ in range(rng.randint(2, 30))).encode(name, "ignore")
+    for _ in range(30):
+        yield bytes(rng.choice(b"aeinrst \xe9\xe8\xfc\xdf\xf0\xfe\xa4\xb3\xd2\xc1\x81\x90") for _ in range(rng.randint(2, 40)))
+
+
+def test_ranking_against_a_plain_version():
+    options, models, seen = DetectOptions(language=False), standard(), 0
+    for data in statistical_values():
+        got = R.ranked(data, options, models)
+        want = plain_ranking(data, options, models)
+        if want is None:
+            assert [f.encoding for f in got] == ["cp1252"] and got[0].confidence == 0.10
+            continue
+        assert [f.encoding for f in got] == [f[0] for f in want], data
+        for f, (_, score, lang) in zip(got, want):
+            assert f.confidence == pytest.approx(score) and f.language == lang
+        seen += 1
+    assert seen > 100
+
+
+def test_languages_of_many_values_are_those_of_each():
+    models, values = standard(), [v for v in statistical_values()] + [b"", b"a", b"plain words and more"]
+    values += [t.encode() for t in list(SAMPLES.values())[:20]]
+    for encoding in ("utf-8", "ascii", "cp1252", "cp1251", "iso2022_kr"):
+        got = R.languages(values, [encoding] * len(values), models)
+        assert got == [R.language(v, encoding, models) if v else got[k] for k, v in enumerate(values)]
+
+
+def test_thresholds_debug_log_and_old_options(spark):
+    df = frame(spark, ["Das ist ein schöner Tag, früh am Morgen".encode("latin-1"), None])
+    every = detect_all(df, ignore_threshold=True).count()
+    kept = detect_all(df, minimum_threshold=2.0).collect()
+    assert len(kept) == every > detect_all(df, minimum_threshold=0.3).count() > 0
+    log = candidate_log(df).collect()
+    assert len(log) == 1 and log[0]["line"].count('"encoding"') == every
+    with pytest.warns(DeprecationWarning, match="lang_filter"):
+        DetectOptions(lang_filter=1)
+
+
+def test_native_lookup_is_the_lookup_of_python(spark):
+    from byteloom.operators import names
+    from byteloom.tables import registry
+
+    asked = ["UTF8", "latin-1", "Latin 1", "ISO_8859-1:1987", "windows 1252", "U8", "cp-1252", "eucJP", "mac--roman", "ansi_x3.4-1986", "nothing", "", "utf\0-8", "8859", "csISOLatin2", "shift jis", "_latin_1_", "GB18030-2000", "iso-8859-8-i", "KOI8_R"]
+    rows = spark.createDataFrame([(a,) for a in asked], "a string").select("a", names.lookup(F.col("a")).alias("e")).collect()
+    assert {r["a"]: r["e"] for r in rows} == {a: registry.lookup(a) for a in asked}
+
+
+def test_packed_confusable_pairs():
+    from byteloom.tables.codepages import unpack_confusable
+
+    data = b"\0\2" + b"\x06latin1" + b"\x06cp1252" + b"\2" + bytes([0x80, 25, 19, 0x81, 25, 99]) + b"\1x\1y\0"
+    assert unpack_confusable(data) == {("iso8859-1", "cp1252"): {0x80: ("Cc", "Sc"), 0x81: ("Cc", "Cn")}, ("x", "y"): {}}
+    for n in range(len(data)):
+        with pytest.raises(ValueError, match="packed pairs end"):
+            unpack_confusable(data[:n])
+    with pytest.raises(ValueError, match="UTF-8"):
+        unpack_confusable(b"\0\1\1\xff\1y\0")

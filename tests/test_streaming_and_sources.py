@@ -74,6 +74,30 @@ def test_files_are_cut_and_missing_ones_pass(spark, tmp_path):
     assert main([str(tmp_path / "none.txt")], spark=spark, write=out.append, write_error=err.append) == 1
 
 
+def test_heads_of_files(spark, tmp_path):
+    for name, size in (("a b.txt", 5), ("b.txt", 1000), ("c.bin", 3)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    rows = files.read_heads(spark, str(tmp_path), max_bytes=10, glob="*.txt").collect()
+    assert sorted((r["length"], bytes(r["content"])) for r in rows) == [(5, b"x" * 5), (1000, b"x" * 10)]
+    assert rows[0]["path"] in {r["path"] for r in files.read_files(spark, str(tmp_path)).collect()}
+
+
+def test_streams_that_wait_for_too_much_end(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("byteloom.streaming.chunks.EARLY_CHUNKS", 3)
+    schema = "stream_id string, seq long, chunk binary"
+    rows = [("a", k, bytearray(b"x")) for k in range(1, 6)] + [("b", k, bytearray(b"x")) for k in (2, 1, 3)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = detect_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    query = found.writeStream.format("memory").queryName("waiting_streams").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    query.processAllAvailable()
+    query.stop()
+    assert [(r["stream_id"], r["error"]) for r in spark.table("waiting_streams").collect()] == [("a", "more than 3 chunks wait for chunk 0")]
+
+
+def test_small_tables_are_spread(spark):
+    assert files.spread_small(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 4
+
+
 def test_cli_reads_standard_input(spark):
     out = []
     assert main(["-l", "-e", "unknown"], stdin=b"the best of times was the time of that friend", spark=spark, write=out.append) == 0
