@@ -19,7 +19,7 @@ def _values(rows) -> str:
 
 
 def _choose(values: list[str], by: str) -> str:
-    return f"CASE {by} % {len(values)} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
+    return f"CASE {by} % {len(values)} " + " ".join(f"WHEN {k} THEN {_values([(v,)])[1:-1]}" for k, v in enumerate(values)) + " END"
 
 
 def _in(values) -> str:
@@ -68,13 +68,17 @@ ORACLE["q_hz"] = "SELECT doc_id, doc_id % 5 IN (0, 2) AS is_hz FROM documents"
 ORACLE["q_utf7"] = "SELECT item_id AS doc_id, CASE item_id % 5 WHEN 0 THEN 'utf-7' WHEN 4 THEN 'utf-7' ELSE 'ascii' END AS encoding FROM benchmark"
 _MIMES = [*(m for _, m in S.MAGIC), "image/avif", "video/quicktime", "video/mp4", None, "image/webp", None, "audio/aiff", "application/zip", "application/x-mach-binary", "application/java-vm"]
 ORACLE["q_magic"] = f"SELECT doc_id, m.mime AS mime_type FROM documents JOIN (VALUES {_values(enumerate(_MIMES))}) m(k, mime) ON k = doc_id % {len(_MIMES)}"
-ORACLE["q_zip_subtype"] = "SELECT item_id AS doc_id, " + _choose(["application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/java-archive", "application/x-wheel+zip", "application/vnd.oasis.opendocument.text", "application/zip"], "item_id") + " AS mime_type FROM benchmark"
+ORACLE["q_zip_subtype"] = "SELECT doc_id, " + _choose(["application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/java-archive", "application/x-wheel+zip", "application/vnd.oasis.opendocument.text", "application/zip"], "doc_id") + " AS mime_type FROM documents"
 _NAMES = f"n(alias, encoding) AS (VALUES {_values(registry.names().items())})"
 #: A declaration is believed only if the first 4,096 bytes decode: a character cut there speaks against it.
 _CUT = "coalesce(t[4097] BETWEEN '80' AND 'BF', false)"
 ORACLE["q_markup_html"] = f"""WITH {_NAMES}, p AS (SELECT page_id, regexp_extract_all(hex(encode(html)), '..') AS t, regexp_extract(html[1:4096], '(?is)<meta[^>]+charset\\s*=\\s*[''"]?\\s*([^\\s''">;]+)', 1) AS declared FROM pages)
 SELECT page_id, declared, encoding, CASE WHEN encoding IS NOT NULL THEN 'text/html' END AS mime_type FROM p LEFT JOIN n ON alias = lower(declared) AND NOT {_CUT}"""
-ORACLE["q_markup_declared"] = "SELECT doc_id, " + _choose(["iso8859-2", "iso8859-1", "cp1251", "", "utf-8"], "doc_id").replace("THEN ''", "THEN NULL") + " AS encoding, CASE doc_id % 5 WHEN 0 THEN 'text/xml' WHEN 2 THEN 'text/html' WHEN 3 THEN 'text/xml' ELSE 'text/x-python' END AS mime_type FROM documents"
+_HEADS = ['<?xml version="1.0" encoding="ISO-8859-2"?>', "#!/usr/bin/python\n# -*- coding: latin-1 -*-\n", '<meta http-equiv="Content-Type" content="text/html; charset=windows-1251">', '<?xml encoding="nothing"?>', "# coding: utf-8\n"]
+#: Web decoders read any byte as Latin-1, Latin-2 or CP1251; UTF-8 has to be whole within the first 4,096 bytes.
+ORACLE["q_markup_declared"] = f"""WITH d AS (SELECT doc_id, doc_id % 5 AS k, regexp_extract_all(hex(encode(({_choose(_HEADS, 'doc_id')}) || text)), '..') AS t FROM documents)
+SELECT doc_id, CASE WHEN k = 0 THEN 'iso8859-2' WHEN k = 1 THEN 'iso8859-1' WHEN k = 2 THEN 'cp1251' WHEN k = 4 AND NOT {_CUT} THEN 'utf-8' END AS encoding,
+       CASE WHEN k IN (0, 3) THEN 'text/xml' WHEN k = 2 THEN 'text/html' WHEN k = 1 OR NOT {_CUT} THEN 'text/x-python' END AS mime_type FROM d"""
 
 
 def _hex_pattern(pattern: str) -> str:
@@ -142,7 +146,9 @@ bad AS (SELECT doc_id, count(DISTINCT enc) AS n, bool_or(enc = 'cp1252') AS cp12
 SELECT d.doc_id, ({len(codepages.single_byte())} - coalesce(n, 0))::INTEGER AS n_valid, NOT coalesce(cp1252, false) AS cp1252, NOT coalesce(iso, false) AS iso8859_6 FROM d LEFT JOIN bad USING (doc_id)"""
 _DIM = f"e(ordinal, name, era, mb) AS (VALUES {_values((e.ordinal, e.name, int(e.era), int(e.is_multibyte)) for e in registry.REGISTRY.values())})"
 ORACLE["q_candidates_by_era"] = f"WITH {_DIM}, m(era_name, mask) AS (VALUES {_values([(x.name, int(x)) for x in (*registry.Era, registry.Era.ALL)])}) SELECT era_name, count(*) AS n, sum(mb)::BIGINT AS n_multibyte, min(ordinal)::INTEGER AS first_ordinal FROM e JOIN m ON (era & mask) <> 0 GROUP BY era_name"
-ORACLE["q_alias_lookup"] = f"WITH {_NAMES}, a AS (SELECT doc_id, {_choose(Q._ASKED, 'doc_id')} AS asked FROM documents) SELECT doc_id, asked, encoding FROM a LEFT JOIN n ON alias = lower(asked)"
+#: What those names have to mean, written out.
+_MEANT = ["utf-8", "iso8859-1", "cp1252", "gb18030", "shift_jis_2004", "shift_jis_2004", "mac-roman", "koi8-r", "tis-620", "", "big5hkscs", "euc_jis_2004", "iso8859-1", "cp1252", "iso8859-15"]
+ORACLE["q_alias_lookup"] = f"SELECT doc_id, {_choose(Q._ASKED, 'doc_id')} AS asked, nullif({_choose(_MEANT, 'doc_id')}, '') AS encoding FROM documents"
 ORACLE["q_threshold_filter"] = """WITH c AS (SELECT doc_id, list_transform([0, 1, 2, 3], lambda k: ((doc_id * 7 + k * 13 + length(text)) % 50) / 100.0) AS c FROM documents),
 f AS (SELECT doc_id, len(c) AS n, len(list_filter(c, lambda x: x > 0.2)) AS a, len(list_filter(c, lambda x: x >= 0.4)) AS b FROM c)
 SELECT doc_id, (CASE WHEN a = 0 THEN n ELSE a END)::INTEGER AS n_default, (CASE WHEN b = 0 THEN n ELSE b END)::INTEGER AS n_custom, n::INTEGER AS n_ignored FROM f"""

@@ -197,7 +197,7 @@ _ARCHIVES = [_member(b"readme.txt", b"hi") + _member(b"xl/workbook.xml"), _membe
 @query
 def q_zip_subtype(spark, sf_dir):
     """G8z: archives told by their members."""
-    docs = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), choose(_ARCHIVES, F.col("item_id")).alias("content"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", choose(_ARCHIVES, F.col("doc_id")).alias("content"))
     return detect(docs).select("doc_id", F.col("detected.mime_type").alias("mime_type"))
 
 
@@ -219,7 +219,7 @@ def q_markup_html(spark, sf_dir):
 def q_markup_declared(spark, sf_dir):
     """XML and coding declarations before the texts."""
     heads = ['<?xml version="1.0" encoding="ISO-8859-2"?>', "#!/usr/bin/python\n# -*- coding: latin-1 -*-\n", '<meta http-equiv="Content-Type" content="text/html; charset=windows-1251">', '<?xml encoding="nothing"?>', "# coding: utf-8\n"]
-    docs = read(spark, sf_dir, "documents").select("doc_id", B.utf8(F.concat(choose(heads, F.col("doc_id")), F.lit(" plain text"))).alias("content"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", B.utf8(F.concat(choose(heads, F.col("doc_id")), F.col("text"))).alias("content"))
     return _declarations(docs).select("doc_id", "found.encoding", "found.mime_type")
 
 
@@ -259,7 +259,7 @@ def q_candidates_by_era(spark, sf_dir):
     return picked.groupBy("era_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_multibyte").cast("long")).alias("n_multibyte"), F.min("ordinal").alias("first_ordinal"))
 
 
-_ASKED = ["UTF8", "latin-1", "Windows-1252", "gbk", "shift_jis", "sjis", "macintosh", "koi8", "TIS620", "nonsense", "big5", "euc-jp"]
+_ASKED = ["UTF8", "latin-1", "Windows-1252", "gbk", "shift_jis", "sjis", "macintosh", "koi8", "TIS620", "nonsense", "big5", "euc-jp", "ISO_8859-1:1987", "windows 1252", "ISO 8859 15"]
 
 
 @query
