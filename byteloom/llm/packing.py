@@ -66,7 +66,11 @@ class WordEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        # Strings of special tokens stand for them wherever they occur, so texts are cut there first; words are plain then.
         self.tokenizer.encode_special_tokens = True
+        own = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = {t: np.array([i], dtype="<u4").tobytes() for t, i in own.items()}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(own, key=len, reverse=True))) + ")" if own else r"(?!)")
         # Words of small Latin letters are what normalising and splitting would leave them; they skip both.
         self.bare = Tokenizer.from_file(tokenizer_path)
         self.bare.normalizer, self.bare.pre_tokenizer = None, ByteLevel(add_prefix_space=False, use_regex=False)
@@ -97,17 +101,23 @@ class WordEncoder:
             known.update((w, i) for w, i in ids.items() if len(w) <= WORD_BYTES)
         return ids
 
+    def _ids(self, text: str) -> bytes:
+        known, data = self.known, text.encode()
+        words = (data if COMBINING.search(text) else data.lower()).split()
+        try:
+            return b"".join([known[w] for w in words])
+        except KeyError:
+            own = self._learn(set(words).difference(known))
+            return b"".join([known[w] if w in known else own[w] for w in words])
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        known = self.known
         for text in texts:
-            data = (text or "").encode()
-            words = (data if COMBINING.search(text or "") else data.lower()).split()
-            try:
-                yield b"".join([known[w] for w in words])
-            except KeyError:
-                own = self._learn(set(words).difference(known))
-                yield b"".join([known[w] if w in known else own[w] for w in words])
+            text = text or ""
+            if any(s in text for s in self.special):
+                yield b"".join([self.special.get(part) or self._ids(part) for part in self.cuts.split(text)])
+            else:
+                yield self._ids(text)
 
 
 @lru_cache(2)

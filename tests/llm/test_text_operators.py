@@ -48,7 +48,6 @@ def write(spark, folder, docs, labels=()):
 
 def token_pieces(texts):
     tok, want = Tokenizer.from_file(TOKENIZER), {}
-    tok.encode_special_tokens = True
     for doc, text in texts:
         ids = tok.encode(text or "", add_special_tokens=False).ids + [0]
         for k in range(0, len(ids), 2048):
@@ -92,10 +91,9 @@ def test_packing_of_nothing(none):
 @pytest.mark.parametrize("seed", range(4))
 def test_word_encoder_is_the_tokenizer(seed):
     rng = random.Random(seed)
-    alphabet = list("aAbZé'sStT.,;!?-_#1 ٣́̊YyHẖ \n\t\x1c İΣς Kﬁ中ñ‍😀") + ["<|endoftext|>", "'s", "'ll", "RE", " "]
+    alphabet = list("aAbZé'sStT.,;!?-_#1 ٣́̊YyHẖ \n\t\x1c İΣς Kﬁ中ñ‍😀") + ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|", "'s", "'ll", "RE", " "]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
     tok = Tokenizer.from_file(TOKENIZER)
-    tok.encode_special_tokens = True
     for text, got in zip(texts, packing.WordEncoder(TOKENIZER).encode(texts)):
         assert np.frombuffer(got, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
 
