@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from byteloom.llm.common import checkpoint
-from byteloom.llm.vectors import BLOCK_ROWS, QUERY_ROWS, classes, merge, pack_vectors, prepared, query_classes
+from byteloom.llm.vectors import QUERY_ROWS, classes, merge, pack_vectors, prepared, query_classes
 
 TABLES, PROBES, ROUNDS, SEED = 4, 32, 3, 11
 QUERY_EVERY, K = 20, 20
+#: Vectors in one block of a bucket; near copies fill one bucket, so blocks are small.
+BLOCK_ROWS = 512
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
