@@ -97,14 +97,18 @@ def structure(text: Column, encoding: str) -> Column:
     The regular expression walks as a decoder does: a valid sequence is taken whole, else one byte is skipped.
     """
     lead, sequence = P.SEQUENCES[encoding]
-    valid = F.regexp_extract_all(text, F.lit(f"(?s){sequence}"), F.lit(0))
-    leads = F.regexp_count(text, F.lit(f"(?s){sequence}|{lead}"))
-    return F.struct(
-        leads.alias("leads"),
-        F.size(valid).alias("valid"),
-        F.length(F.regexp_replace(F.array_join(valid, ""), r"[\x00-\x7F]", "")).alias("mb_bytes"),
-        F.size(F.array_distinct(F.transform(valid, lambda v: F.left(v, F.lit(1))))).alias("lead_diversity"),
+    # An array of one element binds the sequences, which are used three times.
+    held = F.array(F.regexp_extract_all(text, F.lit(f"(?s){sequence}"), F.lit(0)))
+    found = F.transform(
+        held,
+        lambda valid: F.struct(
+            F.regexp_count(text, F.lit(f"(?s){sequence}|{lead}")).alias("leads"),
+            F.size(valid).alias("valid"),
+            F.length(F.regexp_replace(F.array_join(valid, ""), r"[\x00-\x7F]", "")).alias("mb_bytes"),
+            F.size(F.array_distinct(F.transform(valid, lambda v: F.left(v, F.lit(1))))).alias("lead_diversity"),
+        ),
     )
+    return found[0]
 
 
 def pair_ratio(s: Column) -> Column:
@@ -130,9 +134,12 @@ def utf8_bytes(data: Column) -> Column:
     return F.when(F.is_valid_utf8(data), F.nullif(high, F.lit(0))).otherwise(F.when((rest == 0) & (within > 0), within))
 
 
-def utf8_confidence(data: Column) -> Column:
-    """0.80 to 0.99, by the share of bytes in multi-byte sequences; null if the data isn't UTF-8 with any."""
-    within = utf8_bytes(data)
+def utf8_confidence(data: Column, within: Column | None = None) -> Column:
+    """0.80 to 0.99, by the share of bytes in multi-byte sequences; null if the data isn't UTF-8 with any.
+
+    ``within`` is ``utf8_bytes``, if it is a column already: it is used twice.
+    """
+    within = utf8_bytes(data) if within is None else within
     share = F.least(within * 6 / F.octet_length(data), F.lit(1.0))
     return F.when(within.isNotNull(), F.least(F.lit(0.99), F.lit(0.80) + F.lit(0.19) * share))
 

@@ -216,13 +216,14 @@ def decided(df: DataFrame, content: str, output: str, allowed: frozenset[str], e
         "__escape": escape(data),
         "__mime": magic(data),
         "__ascii": B.ascii_confidence(data),
-        "__utf8": B.utf8_confidence(data),
+        "__within": B.utf8_bytes(data),
         "__binary": B.is_binary(data),
         "__nulls": B.holds(B.head(data, 4096), b"\x00") & (F.octet_length(data) >= 10),
         "__plus": B.holds(data, b"+") & ~B.latin1(data).rlike(P.HIGH),
     }
     df = df.select("*", *[c.alias(n) for n, c in facts.items()], *[c.alias(n) for n, (c, _) in zip(names, declared_names(data))])
     df = df.withColumn("__declared", F.when(F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names]).isNotNull(), markup(first, [F.col(n) for n in names])))
+    df = df.withColumn("__utf8", B.utf8_confidence(data, F.col("__within")))
     bom, esc, mime, declared, as_ascii, as_utf8 = (F.col(f"__{n}") for n in ("bom", "escape", "mime", "declared", "ascii", "utf8"))
     more = F.lit(None).cast(RESULT)
     start = result(empty, FALLBACK, None, PLAIN) if empty in allowed else result(None, 0.0, None, OCTETS)
@@ -242,4 +243,4 @@ def decided(df: DataFrame, content: str, output: str, allowed: frozenset[str], e
         .when(as_utf8.isNotNull() & F.lit("utf-8" in allowed), result("utf-8", as_utf8, None, PLAIN))
         .otherwise(more)
     )
-    return df.withColumn(output, found).drop("__data", "__declared", *facts, *names)
+    return df.withColumn(output, found).drop("__data", "__declared", "__utf8", *facts, *names)
