@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 
 #: Rows of one key that one task may get before ``join_split`` deals them out, and how many keys it deals out at most.
 SPLIT_ROWS, SPLIT_KEYS = 4096, 4096
+#: Rows of a part that is numbered alone, at least, and parts for each shuffle partition, about.
+PART_ROWS, PARTS_A_TASK = 100, 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,6 +113,15 @@ def join_split(many: DataFrame, one: DataFrame, on: str, spread: Column, how: st
     return left.join(right, [on, salt], how).drop(salt)
 
 
+def part_rows(spark: SparkSession, total: int) -> int:
+    """How many rows of a key ``salted_rank`` should number together.
+
+    A few parts for each shuffle partition even the tasks out, and keep the number of parts, whose counts are summed up,
+    in proportion to the partitions instead of the rows.
+    """
+    return max(PART_ROWS, total // (PARTS_A_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def salted_rank(df: DataFrame, keys: list[str], salt: str, order: list[Column], name: str) -> DataFrame:
     """Adds the 0-based rank of each row within ``keys``, ordered by ``salt`` and then ``order``.
 

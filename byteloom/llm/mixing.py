@@ -25,13 +25,11 @@ from math import ceil, floor, gcd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from byteloom.llm.common import fresh, hashable, salted_rank
+from byteloom.llm.common import fresh, hashable, part_rows, salted_rank
 
 OTHER = "*"
 ADDED = ("pool", "block", "slot", "place")
 BLOCK_ROWS = 16
-#: Documents of one source that one task orders, about.
-RANK_ROWS = 500
 #: Slots of one period at most, by sources named at most: both tables that are broadcast are bounded by these.
 MOST_SLOTS, MOST_SOURCES = 10_000, 256
 
@@ -117,7 +115,7 @@ def mix(docs: DataFrame, weights: dict[str, int], id_col: str = "doc_id", source
     spans = spark.createDataFrame(spans, f"pool string, {phase} int, {since} long, {until} long, {slot0} long, {share} long, {cycle} long")
     turns = spark.createDataFrame(turns, f"pool string, {phase} int, {nth} long, {turn} long")
 
-    parts = max(1, -(-max(rows.values(), default=0) // RANK_ROWS))
+    parts = max(1, -(-max(rows.values(), default=0) // part_rows(spark, sum(rows.values()))))
     dealt = F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * parts / F.lit(2**32)).cast("long")
     ranked = salted_rank(pooled.withColumn(salt, dealt), ["pool"], salt, [F.col(digest), F.col(tie)], rank)
     numbered = ranked.withColumns({"block": F.floor(F.col(rank) / block_rows), "place": (F.col(rank) % block_rows).cast("int")})

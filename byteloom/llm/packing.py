@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from byteloom.llm.common import checkpoint, fresh, salted_rank
+from byteloom.llm.common import checkpoint, fresh, part_rows, salted_rank
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -38,8 +38,6 @@ WORD_BYTES, WORDS_KEPT = 64, 400_000
 MARKS = string.punctuation.encode()
 LATIN_END = "\u0250"
 COMBINING = re.compile("[\u0300-\u036f]")
-#: Pieces of one length that one task numbers, about.
-RANK_ROWS = 500
 #: Documents that ``pack_in_order`` packs together.
 WINDOW_ROWS = 1024
 
@@ -254,7 +252,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     places = _places(histogram, capacity)
 
     # At most ``capacity`` lengths.
-    salts = F.broadcast(docs.sparkSession.createDataFrame([(k, -(-v // RANK_ROWS)) for k, v in histogram.items()], "length long, _parts long"))
+    each = part_rows(docs.sparkSession, sum(histogram.values()))
+    salts = F.broadcast(docs.sparkSession.createDataFrame([(k, -(-v // each)) for k, v in histogram.items()], "length long, _parts long"))
     spread = made.join(salts, "length").withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), F.col("_parts"))).drop("_parts")
     ranked = salted_rank(spread, ["length"], "_salt", [F.col(id_col), F.col("piece")], "_rank")
 
